@@ -85,19 +85,45 @@ def top_rows(diff: DataFrame, rows: int = ROWS_PER_BUCKET) -> DataFrame:
     return shown.join(totals, "bucket").withColumn("more", more).drop("bucket_size", "magnitude")
 
 
+def comparability_checks() -> Column:
+    """Reasons why a run (`c_` columns) and its baseline (`b_` columns) do not measure the same thing."""
+    return F.array_compact(
+        F.array(
+            F.when(
+                F.col("b_source_base_url") != F.col("c_source_base_url"),
+                F.lit("the runs crawled different source sites"),
+            ),
+            F.when(
+                F.col("b_target_base_url") != F.col("c_target_base_url"),
+                F.lit("the runs compared different target sites"),
+            ),
+            F.when(
+                F.array_sort("b_viewports") != F.array_sort("c_viewports"), F.lit("the runs used different viewports")
+            ),
+        )
+    )
+
+
+def _sides(runs: DataFrame, side: str) -> DataFrame:
+    return runs.select(
+        *[F.col(c).alias(f"{side}_{c}") for c in ("run_id", "source_base_url", "target_base_url", "viewports")]
+    )
+
+
 def comparability_warnings(baseline_run: DataFrame, current_run: DataFrame) -> DataFrame:
-    """Reasons why the two runs do not measure the same thing; one row each."""
-    name = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in (
-        "source_base_url", "target_base_url", "viewports")])
-    both = name(baseline_run, "b").crossJoin(name(current_run, "c"))  # one row each
-    checks = F.array(
-        F.when(F.col("b_source_base_url") != F.col("c_source_base_url"), F.lit("the runs crawled different source sites")),
-        F.when(F.col("b_target_base_url") != F.col("c_target_base_url"), F.lit("the runs compared different target sites")),
-        F.when(
-            F.array_sort("b_viewports") != F.array_sort("c_viewports"), F.lit("the runs used different viewports")
-        ),
+    """One row per reason; both inputs hold one run."""
+    both = _sides(baseline_run, "b").crossJoin(_sides(current_run, "c"))  # one row each
+    return both.select(F.explode(comparability_checks()).alias("warning"))
+
+
+def warnings_by_run(runs: DataFrame, previous: DataFrame) -> DataFrame:
+    """Number of reasons for each stored run against the run before it."""
+    joined = (
+        previous.where(F.col("baseline_id").isNotNull())
+        .join(_sides(runs, "c"), F.col("run_id") == F.col("c_run_id"))
+        .join(_sides(runs, "b"), F.col("baseline_id") == F.col("b_run_id"))
     )
-    return both.select(F.explode(F.array_compact(checks)).alias("warning"))
+    return joined.select("run_id", F.size(comparability_checks()).alias("warnings"))
 
 
 def regression_gate(diff: DataFrame, floor: str = "info") -> DataFrame:

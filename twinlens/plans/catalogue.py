@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlens.plans import queries_columns
+from twinlens.plans import queries_columns, queries_report
 from twinlens.plans.registry import QUERIES, tables
 
-__all__ = ["QUERIES", "queries_columns", "tables"]
+__all__ = ["QUERIES", "queries_columns", "queries_report", "tables"]

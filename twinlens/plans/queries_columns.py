@@ -572,15 +572,15 @@ def value_modal_changed(t: Tables):
 
 @query(
     "value_multiset_minus", "C32",
-    "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS a, regexp_extract_all(lower(substr(text, 1, "
-    "length(text) // 2)), '[a-z]+') AS b FROM documents), ca AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(a) AS v "
+    "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9]+') AS a, regexp_extract_all(lower(substr(text, 1, "
+    "length(text) // 2)), '[0-9]+') AS b FROM documents), ca AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(a) AS v "
     "FROM w) x GROUP BY 1, 2), cb AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(b) AS v FROM w) x GROUP BY 1, 2) "
     "SELECT w.doc_id, coalesce(d.left_over, 0)::BIGINT AS left_over, coalesce(d.kinds, 0)::BIGINT AS kinds FROM w LEFT JOIN ("
     "SELECT ca.doc_id, sum(greatest(ca.n - coalesce(cb.n, 0), 0)) AS left_over, count(*) FILTER (ca.n > coalesce(cb.n, 0)) AS kinds "
     "FROM ca LEFT JOIN cb ON ca.doc_id = cb.doc_id AND ca.v = cb.v GROUP BY 1) d ON d.doc_id = w.doc_id",
 )
 def value_multiset_minus(t: Tables):
-    words = lambda c: F.array_sort(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
+    words = lambda c: F.array_sort(F.regexp_extract_all(F.lower(c), F.lit("[0-9]+"), F.lit(0)))
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
     df = t.documents.select("doc_id", words(F.col("text")).alias("a"), words(half).alias("b"))
     rest = df.withColumn("rest", values.multiset_minus(F.col("a"), F.col("b")))

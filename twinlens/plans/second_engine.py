@@ -62,7 +62,7 @@ def chars(x: str) -> str:
 
 def grams(x: str) -> str:
     c = chars(x)
-    return f"list_distinct(list_transform(range(1, len({c}) - 1), lambda i: {c}[i] || {c}[i + 1] || {c}[i + 2]))"
+    return f"list_distinct(list_transform(list_zip({c}, {c}[2:], {c}[3:]), lambda z: z[1] || z[2] || z[3]))"
 
 
 def dice(a: str, b: str) -> str:
