@@ -104,8 +104,8 @@ def normalize_path(path: Column, rules: UrlRules) -> Column:
     if rules.trailing_slash == "strip":
         out = F.regexp_replace(out, "/+$", "")
     elif rules.trailing_slash == "add":
-        out = F.when(out.endswith("/"), out).otherwise(F.concat(out, F.lit("/")))
-    return F.when(out == "", F.lit("/")).otherwise(out)
+        out = F.regexp_replace(out, "([^/])$", "$1/")
+    return F.regexp_replace(out, "^$", "/")
 
 
 def _form_decode(value: Column) -> Column:
@@ -145,7 +145,7 @@ def normalize_query(query: Column, rules: UrlRules) -> Column:
     joined = F.array_join(
         F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&"
     )
-    out = F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
+    out = F.regexp_replace(F.concat(F.lit("?"), joined), r"^\?$", "")
     return F.when(F.coalesce(query, F.lit("")).isin("", "?"), F.lit("")).otherwise(out)
 
 
@@ -183,6 +183,18 @@ def canonicalize(df: DataFrame, url: str, rules: UrlRules = UrlRules(), prefix:
     ).drop(*[f"{tmp}_{p}" for p in ("scheme", "host", "port", "rawpath", "query", "fragment")])
 
 
+def serialize_url(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Add the absolute URL as a browser writes it: path escaped, host lower-cased, default port gone."""
+    df = parse_url(df, url, "_s")
+    whole = F.concat(
+        origin(F.col("_s_scheme"), F.col("_s_host"), F.col("_s_port")),
+        F.col("_s_rawpath"),
+        F.regexp_replace(F.col("_s_query"), " ", "%20"),
+        F.regexp_replace(F.col("_s_fragment"), " ", "%20"),
+    )
+    return df.withColumn(out, whole).drop(*[f"_s_{p}" for p in ("scheme", "host", "port", "rawpath", "query", "fragment")])
+
+
 def resolve_href(href: Column, page_url: Column, mode: str = "auto") -> Column:
     """Absolute http(s) URL an href points at, or NULL."""
     h = clean_url(href)

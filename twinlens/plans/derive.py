@@ -14,7 +14,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.operators.findings import CATEGORIES
+from twinlens.functions.images import with_asset_key
+from twinlens.functions.prices import parse_price
+from twinlens.functions.urls import canonicalize
+from twinlens.operators.content import assemble_nodes
+from twinlens.operators.findings import CATEGORIES, COLUMNS, finding_id
+from twinlens.operators.styles import overflows
+from twinlens.session import cut_lineage
+from twinlens.sources.html import resolve_links
+from twinlens.sources.snapshots import path_slug
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -309,7 +317,7 @@ class Tables:
 
     def derived(self, name: str) -> DataFrame:
         """Run a shared derivation; its inputs are registered under their own names first."""
-        special = {"canon": self._canon, "lines": self._lines, "page_hosts": self._page_hosts}
+        special = {"canon": lambda: self.canon, "lines": self._lines, "page_hosts": self._page_hosts}
         text = []
         for part, sql in with_tables(name, {k: ((), "") for k in special}):
             if part in special:
@@ -321,10 +329,11 @@ class Tables:
             self.base(table).createOrReplaceTempView(table)
         return self.spark.sql(whole)
 
-    def _canon(self) -> DataFrame:
-        from twinlens.functions.urls import canonicalize
-
-        return canonicalize(self.pages, "url").select("page_id", "url", F.col("c_key").alias("key"))
+    @cached_property
+    def canon(self) -> DataFrame:
+        """Canonical key of every page. Captured tables carry it, so it is computed once here too."""
+        keyed = canonicalize(self.pages, "url")
+        return cut_lineage(keyed.select("page_id", "url", F.col("c_key").alias("key")))
 
     def _lines(self) -> DataFrame:
         return self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
@@ -343,10 +352,11 @@ class Tables:
             F.array().cast("array<struct<url:string,status:int>>")
         )
         aliases = self.derived("aliases").groupBy("path").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
-        return rows.join(aliases, "path", "left").select(
+        out = rows.join(aliases, "path", "left").select(
             "side", "path", "url", "status", chain.alias("redirect_chain"),
             F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "depth", "slow_capture", "page_id",
         )
+        return cut_lineage(out)
 
     def index(self, side: str) -> DataFrame:
         return self.page_rows.where(F.col("side") == side).drop("side", "page_id")
@@ -359,12 +369,10 @@ class Tables:
         return rows.select(
             "side", "path", "viewport", "pos", "region", "key", "ordinal", props.alias("props"),
             F.struct("x", "y", "width", "height").alias("box"), "visible",
-        )
+        ).transform(cut_lineage)
 
     @cached_property
     def captures(self) -> DataFrame:
-        from twinlens.operators.styles import overflows
-
         rows = self.derived("captures")
         return rows.withColumn("has_horizontal_overflow", overflows(F.col("document_width"), F.col("width")))
 
@@ -385,35 +393,29 @@ class Tables:
 
     @cached_property
     def images(self) -> DataFrame:
-        from twinlens.functions.images import with_asset_key
-
         box = F.lit(None).cast("struct<x:double,y:double,width:double,height:double>")
-        return with_asset_key(self.derived("images").withColumn("box", box), "src")
+        return cut_lineage(with_asset_key(self.derived("images").withColumn("box", box), "src"))
 
     @cached_property
     def prices(self) -> DataFrame:
-        from twinlens.functions.prices import parse_price
-
         box = F.lit(None).cast("struct<x:double,y:double,width:double,height:double>")
         parsed = self.derived("prices").withColumn("_p", parse_price(F.col("raw"), F.col("hint")))
-        return parsed.where(F.col("_p").isNotNull()).select(
-            "side", "path", "pos", F.col("_p.amount").alias("amount"), F.col("_p.currency").alias("currency"),
-            "raw", "source", "region", "context", box.alias("box"),
+        return cut_lineage(
+            parsed.where(F.col("_p").isNotNull()).select(
+                "side", "path", "pos", F.col("_p.amount").alias("amount"), F.col("_p.currency").alias("currency"),
+                "raw", "source", "region", "context", box.alias("box"),
+            )
         )
 
     @cached_property
     def nodes(self) -> DataFrame:
-        from twinlens.operators.content import assemble_nodes
-
         raw = self.derived("raw_nodes")
         blank = {c: F.lit(None).cast("string") for c in ("href", "link_path", "src", "alt", "selector_hint")}
         level = F.when(F.col("kind") == "heading", F.lit(1)).cast("int")
-        return assemble_nodes(raw.withColumns(blank | {"level": level}))
+        return cut_lineage(assemble_nodes(raw.withColumns(blank | {"level": level})))
 
     def findings(self, run: str = "current") -> DataFrame:
         """A stored run's findings on the full schema."""
-        from twinlens.operators.findings import COLUMNS, finding_id
-
         rows = self.derived(f"findings_{run}")
         identity = [F.col(c) for c in ("category", "path", "viewport", "region", "node_kind", "subject", "facet")]
         rows = rows.withColumns(
@@ -441,9 +443,6 @@ class Tables:
 
         Target pages lose some links and keep the rest.
         """
-        from twinlens.sources.html import resolve_links
-        from twinlens.sources.snapshots import path_slug
-
         pages = self.derived("first_pages").join(self.pages.select("page_id", "html"), "page_id")
         hrefs = pages.select(
             "page_id", "key", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("pos", "href")
@@ -469,7 +468,7 @@ class Tables:
             F.when(F.col("pos") < 1000, F.lit("nav")).otherwise(F.lit("main")).alias("region"),
             ((F.col("page_id") + F.col("pos")) % 5 != 4).alias("visible"),
         )
-        return resolve_links(both, ["https://legacy.example", "https://new.example"])
+        return cut_lineage(resolve_links(both, ["https://legacy.example", "https://new.example"]))
 
     def probes(self, to_check: DataFrame) -> DataFrame:
         """Probe results of destinations, by the length of their URL: broken, failed, redirected or fine."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.prices import scan_currency
 from twinlens.functions.text import collapse_space
-from twinlens.functions.urls import canonicalize, classify_href, in_origins, resolve_href
+from twinlens.functions.urls import canonicalize, classify_href, in_origins, resolve_href, serialize_url
 
 # Element groups the rules refer to.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -359,7 +359,7 @@ def resolve_links(links: DataFrame, allowed_origins: Sequence[str]) -> DataFrame
     df = links.withColumn("resolved", resolve_href(F.col("href"), F.col("page_url")))
     allowed = in_origins(F.col("resolved"), allowed_origins) if allowed_origins else F.lit(True)
     df = df.withColumn("kind", classify_href(F.col("href"), F.col("page_url"), allowed))
-    df = canonicalize(df, "resolved", prefix="l")
+    df = canonicalize(serialize_url(df, "resolved", "resolved"), "resolved", prefix="l")
     return df.withColumn("link_path", F.when(F.col("kind") == "internal", F.col("l_key"))).drop(
         *[f"l_{c}" for c in ("origin", "path", "search", "hash", "key", "href")]
     )
