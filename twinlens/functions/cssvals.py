@@ -76,7 +76,8 @@ def _hsl_color(c: Column) -> Column:
 
 def normalize_color(value: Column) -> Column:
     """`rgba(r, g, b, a)` for hex, rgb, hsl and named colours; other text lower-cased."""
-    names = F.create_map(*[F.lit(x) for kv in COLOR_NAMES.items() for x in kv])
+    # One literal text: Spark folds it to a constant map once.
+    names = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in COLOR_NAMES.items())))
 
     def body(c: Column) -> Column:
         named = F.element_at(names, F.lower(c))
@@ -205,7 +206,7 @@ def ciede2000(rgb1: np.ndarray, rgb2: np.ndarray) -> np.ndarray:
 
 
 @F.pandas_udf(T.DoubleType())
-def worst_delta(a: pd.Series, b: pd.Series) -> pd.Series:
+def _worst_delta(a: pd.Series, b: pd.Series) -> pd.Series:
     """Largest distance between two equally long lists of `rgba(...)` texts; NULL if any is not one."""
     sizes = a.map(lambda v: 0 if v is None else len(v))
     out = pd.Series(np.nan, index=a.index)
@@ -224,6 +225,11 @@ def worst_delta(a: pd.Series, b: pd.Series) -> pd.Series:
     return out
 
 
+# Declared non-deterministic only to keep Spark from pushing a filter on its result below
+# the projection that computes it, which would copy every expression it depends on.
+worst_delta = _worst_delta.asNondeterministic()
+
+
 def color_distance(a: Column, b: Column) -> Column:
     """Perceptual distance of two canonical colours, 0..1; NULL when either is no colour."""
     return worst_delta(F.array(a), F.array(b))

@@ -293,7 +293,7 @@ def content_findings(t: Tables):
 
 @query("content_reordered", "G6", "SELECT 0 AS reordered", "nodes")
 def content_reordered(t: Tables):
-    out = stats.reordered_nodes(_content_pairs(t), ["path"])
+    out = stats.reordered_nodes(_content_pairs(t), ["path", "region"])
     return out.agg(F.coalesce(F.sum("reordered_nodes"), F.lit(0)).cast("int").alias("reordered"))
 
 
@@ -586,7 +586,7 @@ _LEN = (
     "sd AS (SELECT path, viewport, key, p.property, TRY_CAST(replace(p.a, 'px', '') AS DOUBLE) AS a, TRY_CAST(replace(p.b, 'px', '') AS DOUBLE) AS b, p.a "
     "AS ta, p.b AS tb FROM (SELECT path, viewport, key, unnest([{'property': 'font-size', 'a': s_css_font_size, 'b': d_css_font_size}, {'property': "
     "'margin-top', 'a': s_css_margin_top, 'b': d_css_margin_top}]) AS p FROM sp WHERE sv AND dv) x), sc AS (SELECT *, floor((b - a) * 100 + 0.5) / 100 "
-    "AS delta FROM sd), sm AS (SELECT *, greatest(abs(delta) / 4, CASE WHEN a <> 0 THEN abs(delta / a) / 0.15 ELSE 0 END) AS magnitude FROM sc WHERE a IS "
+    "AS delta FROM sd), sm AS (SELECT *, CASE WHEN delta IS NOT NULL THEN greatest(abs(delta) / 4, CASE WHEN a <> 0 THEN abs(delta / a) / 0.15 ELSE 0 END) END AS magnitude FROM sc WHERE a IS "
     "NULL OR abs(delta) > 1)"
 )
 
