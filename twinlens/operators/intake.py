@@ -235,7 +235,7 @@ def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     longest = lambda kind: F.coalesce(
         F.array_max(
             F.transform(
-                F.filter("_rules", lambda r: (r["kind"] == kind) & F.col("path").rlike(r["regex"])),
+                F.filter("_rules", lambda r: (r["kind"] == kind) & F.regexp(F.col("path"), r["regex"])),
                 lambda r: F.length(r["pattern"]),
             )
         ),

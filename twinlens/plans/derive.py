@@ -21,7 +21,7 @@ from twinlens.operators.content import assemble_nodes
 from twinlens.operators.findings import CATEGORIES, COLUMNS, finding_id
 from twinlens.operators.styles import overflows
 from twinlens.session import cut_lineage
-from twinlens.sources.html import resolve_links
+from twinlens.sources.html import elements, resolve_links
 from twinlens.sources.snapshots import path_slug
 
 BASE = (
@@ -510,4 +510,7 @@ class Tables:
             F.lit("source").alias("side"), F.col("key").alias("path"), "html"
         )
 
-
+    @cached_property
+    def elements(self) -> DataFrame:
+        """Element rows of the pages: parsed once, read by every extraction rule."""
+        return cut_lineage(elements(self.page_html))

@@ -121,9 +121,10 @@ def store_retention(t: Tables):
 
 @query(
     "store_format_bytes", "A9",
-    "SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf(CASE WHEN b / 1024.0 >= 10 THEN '%.0f' ELSE '%.1f' END, b / "
-    "1024.0::DOUBLE) || ' KB' ELSE printf(CASE WHEN b / 1048576.0 >= 10 THEN '%.0f' ELSE '%.1f' END, b / 1048576.0::DOUBLE) || ' MB' END AS size FROM "
-    "(SELECT doc_id, n_chars * 37 AS b FROM documents) d",
+    "SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN CASE WHEN k >= 10 THEN floor(k + 0.5)::BIGINT::VARCHAR ELSE "
+    "printf('%.1f', floor(k * 10 + 0.5) / 10) END || ' KB' ELSE CASE WHEN k / 1024 >= 10 THEN floor(k / 1024 + 0.5)::BIGINT::VARCHAR ELSE "
+    "printf('%.1f', floor(k / 1024 * 10 + 0.5) / 10) END || ' MB' END AS size FROM (SELECT doc_id, n_chars * 37 AS b, n_chars * 37 / 1024.0::DOUBLE "
+    "AS k FROM documents) d",
 )
 def store_format_bytes(t: Tables):
     return t.documents.select("doc_id", store.format_bytes(F.col("n_chars") * 37).alias("size"))
@@ -418,7 +419,7 @@ def graph_reach(t: Tables):
 
 
 def _elements(t: Tables):
-    return html.with_region(html.elements(t.page_html))
+    return html.with_region(t.elements)
 
 
 def _kept(t: Tables):
@@ -554,7 +555,7 @@ _CENTS = "(floor(p_retailprice)::BIGINT || '.25')"
     "('selector', 'USD')) v(s, c)",
 )
 def extract_prices(t: Tables):
-    raw = html.elements(_shop_html(t))
+    raw = cut_lineage(html.elements(_shop_html(t)))
     df = html.with_region(html.without_ignored(raw))
     found = html.json_ld_prices(raw).unionByName(html.marked_prices(df, (".cost",))).unionByName(html.text_prices(df))
     distinct = assets.dedupe_candidates(found)

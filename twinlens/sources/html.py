@@ -121,7 +121,7 @@ class _Elements(HTMLParser):
         }
         for r in self.rows:
             yield {
-                "pos": r["pos"], "parent": r["parent"], "tag": r["tag"], "attrs": list(r["attrs"].items()),
+                "pos": r["pos"], "parent": r["parent"], "tag": r["tag"], "attrs": r["attrs"],
                 "own_text": "".join(r["runs"]), "inner_text": "".join(r["text"]),
                 "ancestors": [brief(u) for u in reversed(r["up"])], "runs": r["runs"],
                 "child_index": r["child_index"], "carries": r["carries"], "tag_index": r["tag_index"],
