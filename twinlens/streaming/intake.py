@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OFFER_SCHEMA = T.StructType.fromDDL("side string, c_href string, seq bigint, depth int, decision string")
-ALIAS_SCHEMA = T.StructType.fromDDL("side string, content_hash string, seq bigint, href string, alias_of string")
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+OFFER_SCHEMA = _schema(
+    side=T.StringType(), c_href=T.StringType(), seq=T.LongType(), depth=T.IntegerType(), decision=T.StringType()
+)
+ALIAS_SCHEMA = _schema(
+    side=T.StringType(), content_hash=T.StringType(), seq=T.LongType(), href=T.StringType(), alias_of=T.StringType()
+)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
