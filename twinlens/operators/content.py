@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlens.functions.text import kind_family, node_key, normalize_text, trigram_similarity, truncate
 from twinlens.functions.values import describe_change, value_changes
-from twinlens.operators.align import MAX_PRODUCT, align, attach, dice_matrix
+from twinlens.operators.align import MAX_PRODUCT, align, attach, cross_equal, dice_matrix
 from twinlens.operators.findings import REGIONS, build, json_text, union_all
 from twinlens.operators.scan import CHUNK, occurrence
 
@@ -94,24 +93,25 @@ def node_similarity(a: str = "source", b: str = "target") -> Column:
     )
 
 
-def _node_scores(s: pd.DataFrame, t: pd.DataFrame) -> np.ndarray:
+_FAMILY = {"paragraph": "text", "listItem": "text", "tableCell": "text"}
+
+
+def _node_scores(s: dict[str, list], t: dict[str, list]) -> np.ndarray:
     """`node_similarity` for every pair of a gap."""
-    blank = lambda col: col.fillna("").to_numpy(dtype=object)
-    family = lambda col: col.replace({"paragraph": "text", "listItem": "text", "tableCell": "text"})
-    same = lambda x, y: x[:, None] == y[None, :]
+    kinds = np.array(s["kind"], dtype=object)[:, None]
     text = dice_matrix(s["text"], t["text"])
-    kind_s, kind_t = s["kind"].to_numpy(dtype=object), t["kind"].to_numpy(dtype=object)
-    score = np.where(same(kind_s, kind_t), text, text * 0.98)
-    level = same(s["level"].fillna(-1).to_numpy(), t["level"].fillna(-1).to_numpy())
-    score = np.where((kind_s == "heading")[:, None] & ~level, text * 0.9, score)
-    dest = lambda f: blank(f["link_path"].where(f["link_path"].notna(), f["href"]))
-    linked = text * 0.75 + np.where(same(dest(s), dest(t)), 0.25, 0.0)
-    score = np.where((kind_s == "link")[:, None], linked, score)
-    images = kind_s == "image"
-    if images.any():
-        pictured = np.where(same(blank(s["src"]), blank(t["src"])), 1.0, dice_matrix(blank(s["alt"]), blank(t["alt"])))
-        score = np.where(images[:, None], pictured, score)
-    return np.where(same(family(s["kind"]).to_numpy(dtype=object), family(t["kind"]).to_numpy(dtype=object)), score, 0.0)
+    score = np.where(cross_equal(s["kind"], t["kind"]), text, text * 0.98)
+    if "heading" in s["kind"]:
+        score = np.where((kinds == "heading") & ~cross_equal(s["level"], t["level"]), text * 0.9, score)
+    if "link" in s["kind"]:
+        place = lambda f: [h if p is None else p for p, h in zip(f["link_path"], f["href"], strict=True)]
+        score = np.where(kinds == "link", text * 0.75 + np.where(cross_equal(place(s), place(t)), 0.25, 0.0), score)
+    if "image" in s["kind"]:
+        blank = lambda v: ["" if x is None else x for x in v]
+        alike = dice_matrix(blank(s["alt"]), blank(t["alt"]))
+        score = np.where(kinds == "image", np.where(cross_equal(s["src"], t["src"]), 1.0, alike), score)
+    family = lambda f: [_FAMILY.get(k, k) for k in f["kind"]]
+    return np.where(cross_equal(family(s), family(t)), score, 0.0)
 
 
 def content_pairs(
