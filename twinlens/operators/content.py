@@ -13,6 +13,7 @@ from twinlens.functions.values import describe_change, value_changes
 from twinlens.operators.align import MAX_PRODUCT, align, attach, cross_equal, dice_matrix
 from twinlens.operators.findings import REGIONS, build, json_text, union_all
 from twinlens.operators.scan import CHUNK, occurrence
+from twinlens.session import cut_lineage
 
 KINDS = ("heading", "paragraph", "listItem", "link", "image", "control", "tableCell", "price")
 NODE_COLUMNS = (
@@ -33,7 +34,8 @@ def assemble_nodes(raw: DataFrame, ignore_patterns: Sequence[str] = (), chunk: i
     df = df.where((F.col("text") != "") | (F.col("kind") == "image"))
     identity = F.when(F.col("kind") == "image", F.coalesce(F.col("src"), F.lit(""))).otherwise(F.col("text"))
     df = df.withColumn("key", node_key(kind_family(F.col("kind")), identity))
-    return occurrence(df, ["side", "path", "region", "key"], "pos", "ordinal", chunk)
+    # Numbering reads its input more than once; normalising and hashing text is done once.
+    return occurrence(cut_lineage(df), ["side", "path", "region", "key"], "pos", "ordinal", chunk)
 
 
 def content_hash(nodes: DataFrame) -> DataFrame:

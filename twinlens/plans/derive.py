@@ -28,6 +28,7 @@ BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
+TEXT_TABLES = ("documents", "pages", "conversations")
 VIEWPORTS = {"desktop": 1440, "tablet": 768, "mobile-md": 390, "mobile-sm": 360}
 
 
@@ -307,7 +308,13 @@ class Tables:
 
     def base(self, name: str) -> DataFrame:
         if name not in self._loaded:
-            self._loaded[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            # A text table that arrives as one small file would keep one core busy with all its
+            # text. Tables in at least as many pieces as there are cores are read as they lie.
+            if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            self._loaded[name] = df
         return self._loaded[name]
 
     def __getattr__(self, name: str) -> DataFrame:
