@@ -522,16 +522,16 @@ def price_drift_flags(t: Tables):
 
 @query(
     "price_similarity", "F9",
-    f"WITH {_PP}, o AS (SELECT w.path, w.pos, w.aa, w.ca, w.xa, z.ab, z.cb, z.xb FROM w JOIN w z ON z.path = w.path), g AS (SELECT *, "
+    f"WITH {_PP}, o AS (SELECT w.path, w.pos, w.aa, w.ca, w.xa, z.ab, z.cb, z.xb FROM w JOIN w z ON z.path = w.path AND z.pos = (w.pos + 1) % 8), g AS (SELECT *, "
     f"{sql.grams('xa')} AS xa_g, {sql.grams('xb')} AS xb_g FROM o), h AS (SELECT *, {sql.dice('xa', 'xb')} AS d FROM g) SELECT path, xa, xb, "
     "round(CASE WHEN d >= 0.6 THEN 0.6 + d * 0.4 WHEN abs(aa - ab) <= 0.001 AND ca = cb THEN 0.55 ELSE d * 0.5 END::DOUBLE, 6) AS similarity FROM h",
     "prices",
 )
 def price_similarity(t: Tables):
     pairs = _placed(t, "prices", assets.PRICE_COLUMNS)
-    # A shop page holds eight parts, so prices of one page meet at most eight by eight.
-    crossed = pairs.select("path", "source").join(pairs.select("path", "target"), "path")
-    return crossed.select(
+    # Each price meets its neighbour on the page, so that texts and amounts differ.
+    neighbour = pairs.select("path", ((F.col("pos") + 7) % 8).alias("pos"), "target")
+    return pairs.drop("target").join(neighbour, ["path", "pos"]).select(
         "path", F.col("source.context").alias("xa"), F.col("target.context").alias("xb"),
         F.round(assets.price_similarity(), 6).alias("similarity"),
     )

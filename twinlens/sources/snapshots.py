@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
@@ -100,14 +100,18 @@ def require_version(runs: DataFrame, run_id: str, version: int = SCHEMA_VERSION)
 
 
 def previous_runs(runs: DataFrame) -> DataFrame:
-    """Each run with the one before it: a self-join by rank-free maximum, no single-task window."""
-    ids = runs.select("run_id").distinct()
-    return (
-        ids.alias("a")
-        .join(ids.alias("b"), F.col("b.run_id") < F.col("a.run_id"), "left")
-        .groupBy(F.col("a.run_id").alias("run_id"))
-        .agg(F.max("b.run_id").alias("baseline_id"))
-    )
+    """Each run with the one before it.
+
+    Ids sort by time, so a prefix of them (the month) splits the order: the run before is in
+    the same month, or else it is the last one of the month before.
+    """
+    ids = runs.select("run_id").distinct().withColumn("_month", F.substring("run_id", 1, 7))
+    within = F.lag("run_id").over(Window.partitionBy("_month").orderBy("run_id"))
+    # One row per month from here on.
+    last = ids.groupBy("_month").agg(F.max("run_id").alias("_last"))
+    months = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("_month")))
+    joined = ids.withColumn("_within", within).join(months, "_month")
+    return joined.select("run_id", F.coalesce("_within", "_before").alias("baseline_id"))
 
 
 def resolve_runs(runs: DataFrame, run_id: str | None = None, since: str | None = None) -> tuple[str, str]:
