@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from twinlens.operators.stats import finding_counts
 from twinlens.plans import second_engine as sql
 from twinlens.plans.derive import PORTABLE, Tables
 from twinlens.plans.registry import query
-from twinlens.session import cut_lineage, ensure_checkpoint_dir
+from twinlens.session import cut_lineage, scratch_path
 from twinlens.sources import html, sitedocs
 from twinlens.sources import snapshots as store
 from twinlens.streaming import intake as streaming
@@ -25,7 +24,7 @@ from twinlens.streaming import intake as streaming
 
 def scratch(t: Tables, name: str) -> str:
     """A fresh place in the folder the cluster shares for checkpoints."""
-    return f"{ensure_checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch_path(t.spark, name)
 
 
 # --- stores -----------------------------------------------------------------------------

@@ -19,12 +19,12 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-_TABLES: dict[tuple[int, str], Tables] = {}
+_TABLES: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """One set of table handles per session and data folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TABLES:
         _TABLES[key] = Tables(spark, sf_dir)
     return _TABLES[key]

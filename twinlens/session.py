@@ -33,28 +33,50 @@ def build_session(master: str | None = None, app: str = "twinlens", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; fall back to a temporary one in local mode only."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, from `spark.checkpoint.dir`; set here only where a local session leaves it unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="twinlens-checkpoint-")
-    context.setCheckpointDir(configured)
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables. It goes when the driver's JVM ends, or with `end_run`."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/twinlens-{spark.sparkContext.applicationId}"
+    system, path = _file_system(spark, place)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return place
+
+
+def end_run(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them end with it."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/twinlens-{spark.sparkContext.applicationId}"
+    system, path = _file_system(spark, place)
+    system.delete(path, True)
+
+
+def _file_system(spark: SparkSession, place: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the run's folder, not yet there."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a result that several readers share to the checkpoint folder, and read it back.
+    """Write a result that several readers share to the run's folder, and read it back.
 
     A table there survives executor loss, unlike a cached copy. Parquet rather than row
     checkpoints: readers prune columns, and the planner knows the real size before it picks
     a join.
     """
-    spark = df.sparkSession
-    place = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    place = scratch_path(df.sparkSession, "table")
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
