@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinlens.llm.shared import keep, page_texts, schema
 
@@ -79,7 +80,7 @@ def _answer(owners: int):
 def _suspect(owners: int):
     def suspect(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         fps = part["fp"].to_numpy(np.int64).view(np.uint64)
-        values, back, times = np.unique(fps, return_inverse=True, return_counts=True)
+        values, times = np.unique(fps, return_counts=True)
         span, _ = _ranges(owners)
         owner = np.minimum(values // np.uint64(span), np.uint64(owners - 1)).astype(np.int64)
         shared = times > 1
@@ -87,14 +88,37 @@ def _suspect(owners: int):
         for o, bitmap in zip(answers["owner"], answers["bitmap"], strict=True):
             n = edges[o + 1] - edges[o]
             shared[edges[o] : edges[o + 1]] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
-        out = part[["path", "fp"]][shared[back]]
-        return out.drop_duplicates()
+        return pd.DataFrame({"fp": values[shared].view(np.int64)})
 
     return suspect
 
 
-def fingerprint(text: Column) -> Column:
-    return F.xxhash64(text)
+CHUNK_BITS = 1 << 15
+MOST_CHUNKS = 1 << 12
+
+
+def _bits(chunk: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(CHUNK_BITS, np.uint8)
+    bits[chunk["place"].to_numpy() % CHUNK_BITS] = 1
+    return pd.DataFrame({"chunk": [int(chunk["chunk"].iat[0])], "bits": [np.packbits(bits, bitorder="little").view(np.int64)]})
+
+
+def suspected(texts: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The rows of `texts` whose `fp` is a suspect's, and a few more, without a shuffle.
+
+    Suspects mark bits of a map that has at most CHUNK_BITS * MOST_CHUNKS bits (16 MB), whatever their number, so it may
+    be broadcast. A bit that two fingerprints share lets a page through that the comparison of texts then clears.
+    """
+    chunks = 1
+    while chunks < MOST_CHUNKS and chunks * CHUNK_BITS < 64 * suspects.count():
+        chunks *= 2
+    place = F.pmod("fp", F.lit(chunks * CHUNK_BITS))
+    placed = suspects.select(place.alias("place")).distinct().withColumn("chunk", F.floor(F.col("place") / CHUNK_BITS))
+    maps = placed.groupBy("chunk").applyInPandas(_bits, schema(("chunk", "long"), ("bits", T.ArrayType(T.LongType()))))
+    at = texts.withColumn("place", place).withColumn("chunk", F.floor(F.col("place") / CHUNK_BITS))
+    inside = (F.col("place") % CHUNK_BITS).cast("int")
+    word = F.get("bits", F.floor(inside / 64).cast("int"))
+    return at.join(F.broadcast(maps), "chunk").filter(F.getbit(word, inside % 64) == 1).select(*texts.columns)
 
 
 def exact_copies(pages: DataFrame, part_rows: int = 1 << 18, owner_rows: int = 1 << 20, least_owners: int = 8) -> DataFrame:
@@ -112,19 +136,15 @@ def exact_copies(pages: DataFrame, part_rows: int = 1 << 18, owner_rows: int = 1
     """
     texts = page_texts(pages).withColumn("text", F.coalesce("text", F.lit("")))
     marked = keep(
-        texts.select("path", fingerprint(F.col("text")).alias("fp"), F.unhex(F.sha2("text", 256)).alias("sha"),
+        texts.select("path", F.xxhash64("text").alias("fp"), F.unhex(F.sha2("text", 256)).alias("sha"),
                      F.shiftright(F.monotonically_increasing_id(), part_rows.bit_length() - 1).alias("part"))
     )
     owners = max(least_owners, -(-marked.count() // owner_rows))
-    kind = marked.schema["path"].dataType
     prints = marked.select("part", "path", "fp")
     sent = prints.select("part", "fp").groupBy("part").applyInPandas(_send(owners), schema(("owner", "long"), ("part", "long"), ("n", "long"), ("k", "long"), ("code", "binary")))
     answers = sent.groupBy("owner").applyInPandas(_answer(owners), schema(("part", "long"), ("owner", "long"), ("bitmap", "binary")))
-    suspects = prints.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_suspect(owners), schema(("path", kind), ("fp", "long")))
-    suspects = keep(suspects)
-    held = texts.withColumn("fp", fingerprint(F.col("text"))).alias("t").join(
-        suspects.alias("s"), F.col("t.fp").eqNullSafe(F.col("s.fp")) & F.col("t.path").eqNullSafe(F.col("s.path")), "left_semi"
-    )
+    suspects = prints.select("part", "fp").groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_suspect(owners), schema(("fp", "long")))
+    held = suspected(texts.select(F.xxhash64("text").alias("fp"), "path", "text"), keep(suspects.distinct()))
     # Grouping by the whole text compares bytes; copies met in one task collapse before the shuffle.
     groups = held.groupBy("fp", "text").agg(F.max("path").alias("keep_path"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_path", "group_size").alias("g")
