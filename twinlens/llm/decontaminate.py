@@ -84,7 +84,7 @@ def item_terms(texts: list[str | None], tables: tuple) -> list[np.ndarray]:
     """The term hashes of each benchmark text, in order."""
     data, at = buffers(pa.array(texts, pa.large_string()))
     starts, ends, first = bounds(data, at, alphanumeric())
-    return np.split(hashes(data, starts, ends, tables), first[1:-1])
+    return np.split(hashes(data, starts, ends, tables), first[1:-1])[: len(texts)]
 
 
 def phrase_starts(window: np.ndarray, postings: dict[int, np.ndarray]) -> np.ndarray:
