@@ -61,7 +61,7 @@ class IntakeRules:
     additional_origins: Sequence[str] = ()
     same_origin_only: bool = True
     max_depth: int = 2
-    max_pages: int = 1000
+    max_pages: int | None = None
     exclude: Sequence[str] = ()
     ignore_paths: Sequence[str] = ()
     include: Sequence[str] = ()

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinlens.functions.base import half_up, let, number_text
 from twinlens.functions.csstables import (
@@ -163,71 +160,77 @@ def normalize_css(prop: Column, value: Column) -> Column:
     return let(F.trim(value), body)
 
 
-def _lab(rgb: np.ndarray) -> np.ndarray:
-    """CIE Lab (D50) of sRGB rows."""
-    c = rgb / 255.0
-    linear = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
-    to_xyz = np.array(
-        [[0.4360747, 0.3850649, 0.1430804], [0.2225045, 0.7168786, 0.0606169], [0.0139322, 0.0971045, 0.7141733]]
-    )
-    white = to_xyz.sum(axis=1)
-    t = (linear @ to_xyz.T) / white
-    f = np.where(t > 216 / 24389, np.cbrt(t), (24389 / 27 * t + 16) / 116)
-    return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1)
-
-
-def ciede2000(rgb1: np.ndarray, rgb2: np.ndarray) -> np.ndarray:
-    """CIEDE2000 over rows, scaled so that black against white is 1."""
-    (l1, a1, b1), (l2, a2, b2) = _lab(rgb1).T, _lab(rgb2).T
-    mean_c7 = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
-    g = 1 + 0.5 * (1 - np.sqrt(mean_c7 / (mean_c7 + 25.0**7)))
-    c1, c2 = np.hypot(a1 * g, b1), np.hypot(a2 * g, b2)
-    h1, h2 = np.degrees(np.arctan2(b1, a1 * g)) % 360, np.degrees(np.arctan2(b2, a2 * g)) % 360
-    grey = c1 * c2 == 0
-    dh = (h2 - h1 + 180) % 360 - 180
-    dh = np.where(grey, 0.0, dh)
-    mean_h = np.where(grey, h1 + h2, (h1 + dh / 2) % 360)
-    mean_l, mean_c = (l1 + l2) / 2, (c1 + c2) / 2
-    rad = np.radians
-    t = (
-        1
-        - 0.17 * np.cos(rad(mean_h - 30))
-        + 0.24 * np.cos(rad(2 * mean_h))
-        + 0.32 * np.cos(rad(3 * mean_h + 6))
-        - 0.20 * np.cos(rad(4 * mean_h - 63))
+_RGBA = r"^rgba\((\d+), (\d+), (\d+), [\d.]+\)$"
+
+
+def _channels(color: Column) -> Column:
+    """The linear red, green and blue of a canonical colour; NULL for other texts."""
+    linear = lambda c: let(
+        c.cast("double") / 255.0, lambda v: F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92)
     )
-    sl = 1 + 0.015 * (mean_l - 50) ** 2 / np.sqrt(20 + (mean_l - 50) ** 2)
-    sc, sh = 1 + 0.045 * mean_c, 1 + 0.015 * mean_c * t
-    c7 = mean_c**7
-    turn = -2 * np.sqrt(c7 / (c7 + 25.0**7)) * np.sin(rad(60 * np.exp(-(((mean_h - 275) / 25) ** 2))))
-    dl, dc = (l2 - l1) / sl, (c2 - c1) / sc
-    dhh = 2 * np.sqrt(c1 * c2) * np.sin(rad(dh / 2)) / sh
-    return np.clip(np.sqrt(np.maximum(dl**2 + dc**2 + dhh**2 + turn * dc * dhh, 0)) / 100, 0, 1)
-
-
-@F.pandas_udf(T.DoubleType())
-def _worst_delta(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Largest distance between two equally long lists of `rgba(...)` texts; NULL if any is not one."""
-    sizes = a.map(lambda v: 0 if v is None else len(v))
-    out = pd.Series(np.nan, index=a.index)
-    if not sizes.sum():
-        return out
-    owner = np.repeat(a.index.to_numpy(), sizes.to_numpy())
-    flat = pd.DataFrame(
-        {"s": [x for v in a if v is not None for x in v], "t": [x for v in b if v is not None for x in v]}
+    rgb = F.array(*[F.regexp_extract(color, _RGBA, i) for i in (1, 2, 3)])
+    return F.when(color.rlike(_RGBA), F.transform(rgb, linear))
+
+
+def _lab(color: Column) -> Column:
+    """CIE Lab (D50) of a canonical colour as a struct `l, a, b`."""
+    white = (0.9642200, 1.0, 0.8252100)
+    matrix = ((0.4360747, 0.3850649, 0.1430804), (0.2225045, 0.7168786, 0.0606169), (0.0139322, 0.0971045, 0.7141733))
+
+    def shares(rgb: Column) -> Column:
+        return F.array(*[sum(rgb[i] * F.lit(m / w) for i, m in enumerate(row)) for row, w in zip(matrix, white, strict=True)])
+
+    root = lambda t: F.when(t > 216 / 24389, F.cbrt(t)).otherwise((24389 / 27 * t + 16) / 116)
+    lab = lambda f: F.struct(
+        (116 * f[1] - 16).alias("l"), (500 * (f[0] - f[1])).alias("a"), (200 * (f[1] - f[2])).alias("b")
     )
-    pattern = r"^rgba\((\d+), (\d+), (\d+), [\d.]+\)$"
-    s, t = (flat[c].str.extract(pattern).astype(float).to_numpy() for c in ("s", "t"))
-    delta = pd.Series(np.round(ciede2000(np.nan_to_num(s), np.nan_to_num(t)), 3))
-    delta[np.isnan(s).any(axis=1) | np.isnan(t).any(axis=1)] = np.inf
-    worst = delta.groupby(owner).max()
-    out.loc[worst.index] = worst.replace(np.inf, np.nan)
-    return out
+    return let(F.transform(let(_channels(color), shares), root), lambda f: F.when(f.isNotNull(), lab(f)))
+
+
+def _ciede2000(p: Column, q: Column) -> Column:
+    """CIEDE2000 of two Lab structs, scaled so that black against white is 1."""
+    chroma = lambda a, b: F.sqrt(a * a + b * b)
+    share = lambda c: let(F.pow(c, F.lit(7.0)), lambda c7: F.sqrt(c7 / (c7 + 25.0**7)))
+    turned = lambda h: F.pmod(h, F.lit(360.0))
+    hue = lambda a, b: turned(F.degrees(F.atan2(b, a)))
+    cosine = lambda h: F.cos(F.radians(h))
+
+    def polar(grow: Column) -> Column:
+        a1, a2 = p["a"] * grow, q["a"] * grow
+        return F.struct(
+            chroma(a1, p["b"]).alias("c1"), chroma(a2, q["b"]).alias("c2"), hue(a1, p["b"]).alias("h1"), hue(a2, q["b"]).alias("h2")
+        )
+
+    def means(x: Column) -> Column:
+        grey = x["c1"] * x["c2"] == 0
+        dh = F.when(grey, 0.0).otherwise(F.pmod(x["h2"] - x["h1"] + 180, F.lit(360.0)) - 180)
+        return let(
+            dh,
+            lambda d: F.struct(
+                d.alias("dh"), F.when(grey, x["h1"] + x["h2"]).otherwise(turned(x["h1"] + d / 2)).alias("h"),
+                ((x["c1"] + x["c2"]) / 2).alias("c"), F.sqrt(x["c1"] * x["c2"]).alias("cc"), (x["c2"] - x["c1"]).alias("dc"),
+            ),
+        )
+
+    def parts(m: Column) -> Column:
+        h, light = m["h"], F.pow((p["l"] + q["l"]) / 2 - 50, F.lit(2.0))
+        weight = 1 - 0.17 * cosine(h - 30) + 0.24 * cosine(2 * h) + 0.32 * cosine(3 * h + 6) - 0.20 * cosine(4 * h - 63)
+        turn = -2 * share(m["c"]) * F.sin(F.radians(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0)))))
+        return F.struct(
+            ((q["l"] - p["l"]) / (1 + 0.015 * light / F.sqrt(20 + light))).alias("l"), (m["dc"] / (1 + 0.045 * m["c"])).alias("c"),
+            (2 * m["cc"] * F.sin(F.radians(m["dh"] / 2)) / (1 + 0.015 * m["c"] * weight)).alias("h"), turn.alias("t"),
+        )
+
+    total = lambda d: d["l"] * d["l"] + d["c"] * d["c"] + d["h"] * d["h"] + d["t"] * d["c"] * d["h"]
+    grow = 1.5 - 0.5 * share((chroma(p["a"], p["b"]) + chroma(q["a"], q["b"])) / 2)
+    squared = let(let(let(let(grow, polar), means), parts), total)
+    return F.round(F.least(F.sqrt(F.greatest(squared, F.lit(0.0))) / 100, F.lit(1.0)), 3)
 
 
-# Declared non-deterministic only to keep Spark from pushing a filter on its result below
-# the projection that computes it, which would copy every expression it depends on.
-worst_delta = _worst_delta.asNondeterministic()
+def worst_delta(a: Column, b: Column) -> Column:
+    """Largest distance between two equally long lists of canonical colours; NULL if any is none."""
+    one = lambda s, t: let(F.struct(_lab(s).alias("p"), _lab(t).alias("q")), lambda x: _ciede2000(x["p"], x["q"]))
+    return let(F.zip_with(a, b, one), lambda found: F.when(~F.exists(found, lambda d: d.isNull()), F.array_max(found)))
 
 
 def color_distance(a: Column, b: Column) -> Column:
@@ -245,8 +248,7 @@ def compare_css(
 ) -> DataFrame:
     """Add normalized_source, normalized_target, equal, kind, delta_px and delta_e.
 
-    Only pairs of colours that differ reach the Python distance function: for every
-    other row its arguments are NULL.
+    Only pairs of colours that differ are measured: for every other row the lists are NULL.
     """
     p = F.col(prop)
     df = df.withColumns(
@@ -276,7 +278,7 @@ def compare_css(
             F.when(F.col("_comparable"), F.col("_colors_a")), F.when(F.col("_comparable"), F.col("_colors_b"))
         ),
     )
-    de = F.when(~F.isnan("delta_e"), F.col("delta_e"))
+    de = F.col("delta_e")
     pa, pb = parse_px(a), parse_px(b)
     delta_px = F.when(
         differs & de.isNull() & is_length_property(p) & pa.isNotNull() & pb.isNotNull(), half_up(pb - pa, 2)

@@ -52,7 +52,7 @@ def with_asset_key(df: DataFrame, src: str, page_url: str | None = None, out: st
     s = F.col("_ak_src")
     key = (
         F.when(s == "", F.lit(""))
-        .when(s.startswith("data:"), F.concat(F.lit("data:"), F.substring(s, 1, 64)))
+        .when(s.startswith("data:"), F.concat(F.lit("data:"), F.substring(s, 1, 64), F.when(F.length(s) > 64, F.concat(F.lit("#"), F.sha1(s))).otherwise("")))
         .when(F.col("_aku_scheme").isNull(), F.lower(s))
         .when(F.col("_ak_base") == "", F.lower(F.col("_aku_rawpath")))
         .when(F.col("_ak_stem") == "", F.lower(F.col("_ak_base")))

@@ -181,10 +181,10 @@ def with_change_text(df: DataFrame) -> DataFrame:
         .otherwise(f("text"))
     )
     label = (
-        F.when(link, F.concat(F.lit('Link "'), short(a("text")), F.lit('" points somewhere else')))
-        .when(level, F.concat(F.lit('Heading "'), short(a("text")), F.lit('" changed level')))
-        .when(image, F.lit("Image alt text changed"))
-        .otherwise(F.concat(F.lit('Text changed: "'), short(a("text")), F.lit('" -> "'), short(b("text")), F.lit('"')))
+        F.when(link, F.concat(F.lit('Link "'), short(a("text")), F.lit('" has another destination')))
+        .when(level, F.concat(F.lit('Heading "'), short(a("text")), F.lit('" sits at another level')))
+        .when(image, F.lit("Alternative text of an image differs"))
+        .otherwise(F.concat(F.lit('Wording moved: "'), short(a("text")), F.lit('" -> "'), short(b("text")), F.lit('"')))
     )
     return df.withColumns({"change_label": label, "change_expected": pick(a), "change_actual": pick(b)})
 
@@ -201,13 +201,13 @@ def one_sided_findings(pairs: DataFrame, overrides: Mapping[str, str] | None = N
     missing = build(
         pairs.where(F.col("target").isNull()), "content.missing", overrides, **common,
         node_kind=F.col("source.kind"), subject=subject("source"),
-        label=F.concat(F.lit("Missing on target: "), _describe("source")),
+        label=F.concat(F.lit("The target lacks "), _describe("source")),
         expected_json=json_text(F.col("source.text")), selector_hint=F.col("source.selector_hint"), source_box=sbox,
     )
     added = build(
         pairs.where(F.col("source").isNull()), "content.added", overrides, **common,
         node_kind=F.col("target.kind"), subject=subject("target"),
-        label=F.concat(F.lit("Only on target: "), _describe("target")),
+        label=F.concat(F.lit("The target adds "), _describe("target")),
         actual_json=json_text(F.col("target.text")), selector_hint=F.col("target.selector_hint"), target_box=tbox,
     )
     return missing.unionByName(added)
@@ -274,7 +274,7 @@ def meta_drift(pages: DataFrame, overrides: Mapping[str, str] | None = None) ->
     return build(
         rows, "meta.drift", overrides, path=F.col("path"), source_url=F.col("source_url"),
         target_url=F.col("target_url"), subject=F.lit("meta"), facet=F.col("field"),
-        label=F.when(F.col("b") == "", F.concat("field", F.lit(" is missing on target"))).otherwise(
+        label=F.when(F.col("b") == "", F.concat("field", F.lit(" left empty by the target"))).otherwise(
             F.concat("field", F.lit(" differs"))
         ),
         expected_json=json_text(F.col("a")), actual_json=json_text(F.col("b")),

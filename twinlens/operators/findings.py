@@ -88,9 +88,9 @@ def finding_id(
     subject: Column | None = None,
     facet: Column | None = None,
 ) -> Column:
-    """12 hex digits of what and where, never of the compared values."""
+    """SHA-1 of what and where, never of the compared values. Reports may show 12 digits; joins take all."""
     rest = [F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in (viewport, region, node_kind, subject, facet)]
-    return F.substring(F.sha1(F.concat_ws("|", category, path, *rest)), 1, 12)
+    return F.sha1(F.concat_ws("|", category, path, *rest))
 
 
 def severity_rank(severity: Column) -> Column:

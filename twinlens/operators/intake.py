@@ -142,8 +142,10 @@ def accepted_pages(decided: DataFrame) -> DataFrame:
     )
 
 
-def capped_pages(accepted: DataFrame, max_pages: int) -> DataFrame:
-    """First pages by arrival on each side: two top-k sorts, no global window."""
+def capped_pages(accepted: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """On request the first pages by arrival on each side: two top-k sorts, no global window."""
+    if max_pages is None:
+        return accepted
     part = lambda side: accepted.where(F.col("side") == side).orderBy("seq").limit(max_pages)
     return part("source").unionByName(part("target"))
 

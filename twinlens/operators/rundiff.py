@@ -9,8 +9,6 @@ from twinlens.operators.findings import at_or_above, ranking, severity_rank
 from twinlens.operators.scan import first_rows
 
 BUCKETS = ("added", "fixed", "changed", "unchanged")
-ROWS_PER_BUCKET = 20
-SUGGESTED_IDS = 40
 
 
 def canonical_json(col: Column) -> Column:
@@ -70,14 +68,17 @@ def run_totals(findings: DataFrame) -> DataFrame:
     )
 
 
-def top_rows(diff: DataFrame, rows: int = ROWS_PER_BUCKET) -> DataFrame:
-    """First rows of each bucket in report order, with how many more there are.
+def top_rows(diff: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of each bucket in report order; with `rows`, its first ones, their rank, and how many more there are.
 
-    The rank is cut right after it is computed, so each task sends only its own first rows.
+    The cut stands right after the rank, so each task sends only its own first rows. Without a cut there is no rank,
+    and the sort is spread over all tasks.
     """
     flat = diff.select(
         "id", "bucket", *[shown_state()[c].alias(c) for c in ("severity", "category", "path", "label", "magnitude")]
     )
+    if rows is None:
+        return flat.orderBy("bucket", *ranking()).drop("magnitude")
     order = Window.partitionBy("bucket").orderBy(*ranking())
     shown = flat.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
     totals = diff.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size"))
@@ -134,5 +135,5 @@ def regression_gate(diff: DataFrame, floor: str = "info") -> DataFrame:
 
 
 def noise_floor(self_comparison: DataFrame) -> DataFrame:
-    """Ids a site produces against itself: suggested suppressions, first ones in report order."""
-    return self_comparison.orderBy(*ranking()).limit(SUGGESTED_IDS).select("id")
+    """Ids a site produces against itself, in report order: what to suppress."""
+    return self_comparison.orderBy(*ranking()).select("id")

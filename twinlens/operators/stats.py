@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from twinlens.operators.findings import CATEGORIES, REGIONS, SEVERITIES, reachable
 
-TOP_PROPERTIES = 20
-TOP_PAGES = 25
 
 
 def percent(part: Column, total: Column) -> Column:
@@ -94,10 +92,11 @@ def css_stats(per_viewport: DataFrame) -> DataFrame:
     return out.withColumn("style_parity", percent(good, F.col("compared_properties")))
 
 
-def top_properties(drifts: DataFrame, property_col: str = "property") -> DataFrame:
-    """Most often drifting properties over the whole run, exact."""
+def top_properties(drifts: DataFrame, property_col: str = "property", rows: int | None = None) -> DataFrame:
+    """Drifting properties over the whole run, most frequent first, exact."""
     counted = drifts.groupBy(F.col(property_col).alias("property")).agg(F.count(F.lit(1)).alias("count"))
-    return counted.orderBy(F.col("count").desc(), F.col("property").asc()).limit(TOP_PROPERTIES)
+    ordered = counted.orderBy(F.col("count").desc(), F.col("property").asc())
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def _dimension(df: DataFrame, rows: Sequence[tuple[str, str]]) -> DataFrame:
@@ -159,10 +158,11 @@ def clean_rate(pages: DataFrame) -> DataFrame:
     return out.withColumn("clean_rate", percent(F.col("clean"), F.col("total")))
 
 
-def top_pages(pages: DataFrame) -> DataFrame:
-    """Pages to start with."""
+def top_pages(pages: DataFrame, rows: int | None = None) -> DataFrame:
+    """Pages with findings, the ones to start with first."""
     order = [F.col(c).desc() for c in ("errors", "warnings", "total_findings")]
-    return pages.where(~F.col("clean")).orderBy(*order, F.col("path").asc()).limit(TOP_PAGES)
+    ordered = pages.where(~F.col("clean")).orderBy(*order, F.col("path").asc())
+    return ordered if rows is None else ordered.limit(rows)
 
 
 def count_by_severity(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.functions.images import with_asset_key
@@ -309,11 +309,10 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         if name not in self._loaded:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            # A text table that arrives as one small file would keep one core busy with all its
-            # text. Tables in at least as many pieces as there are cores are read as they lie.
-            if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
+            # Text tables are read as they lie, unless the session asks for a number of pieces.
+            pieces = self.spark.conf.get("spark.twinlens.textPieces", None)
+            if name in TEXT_TABLES and pieces:
+                df = df.repartition(int(pieces))
             self._loaded[name] = df
         return self._loaded[name]
 
@@ -383,11 +382,15 @@ class Tables:
         rows = self.derived("captures")
         return rows.withColumn("has_horizontal_overflow", overflows(F.col("document_width"), F.col("width")))
 
+    @staticmethod
+    def shop_key() -> Column:
+        return F.sha1(F.concat(F.lit("text:"), "p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+
     @cached_property
     def style_pairs(self) -> DataFrame:
         """Content pairs of the styled nodes: every part is one node on both sides."""
         node = F.struct(
-            F.sha1(F.concat(F.lit("text:"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("key"),
+            self.shop_key().alias("key"),
             F.lit(0).cast("bigint").alias("ordinal"), F.lit("paragraph").alias("kind"), F.col("p_name").alias("text"),
             F.lit(None).cast("string").alias("alt"), F.lit(None).cast("string").alias("selector_hint"),
         )

@@ -167,8 +167,8 @@ def link_status(t: Tables):
 @query(
     "link_broken", "H6",
     f"WITH {_CHECKED} SELECT CASE link_status WHEN 'redirected' THEN 'link.redirect-chain' ELSE 'link.broken' END AS category, path, "
-    "resolved AS subject, CASE link_status WHEN 'error' THEN 'Link failed: ' || resolved || ' (timeout)' WHEN 'broken' THEN 'Link returns 404: ' "
-    "|| resolved ELSE 'Link redirects 1 time(s): ' || resolved END AS label FROM checked WHERE link_status <> 'ok'", "links page_rows",
+    "resolved AS subject, CASE link_status WHEN 'error' THEN 'No answer from link ' || resolved || ' (timeout)' WHEN 'broken' THEN 'Link answered 404: ' "
+    "|| resolved ELSE 'Link hops 1 time(s): ' || resolved END AS label FROM checked WHERE link_status <> 'ok'", "links page_rows",
 )
 def link_broken(t: Tables):
     rows = _to_check(t)
@@ -177,7 +177,7 @@ def link_broken(t: Tables):
 
 
 _CAUGHT = (
-    "SELECT l.side, l.path, l.link_path AS subject, 'Link returns ' || p.status || ': ' || l.link_path AS label FROM links l JOIN page_rows p "
+    "SELECT l.side, l.path, l.link_path AS subject, 'Link answered ' || p.status || ': ' || l.link_path AS label FROM links l JOIN page_rows p "
     "ON p.side = l.side AND p.path = l.link_path WHERE p.status >= 400"
 )
 
@@ -318,9 +318,9 @@ def _placed_pairs(t: Tables):
 
 @query(
     "content_one_sided", "G2",
-    f"WITH {_BY_POS} SELECT 'content.missing' AS category, path, ra AS region, sa AS subject, 'Missing on target: ' || CASE ka WHEN 'heading' THEN "
+    f"WITH {_BY_POS} SELECT 'content.missing' AS category, path, ra AS region, sa AS subject, 'The target lacks ' || CASE ka WHEN 'heading' THEN "
     f"'h1 ' ELSE ka || ' ' END || '\"' || {sql.truncate('a', 60)} || '\"' AS label FROM p WHERE b IS NULL UNION ALL SELECT 'content.added', path, rb, "
-    f"sb, 'Only on target: ' || CASE kb WHEN 'heading' THEN 'h1 ' ELSE kb || ' ' END || '\"' || {sql.truncate('b', 60)} || '\"' FROM p WHERE a IS NULL",
+    f"sb, 'The target adds ' || CASE kb WHEN 'heading' THEN 'h1 ' ELSE kb || ' ' END || '\"' || {sql.truncate('b', 60)} || '\"' FROM p WHERE a IS NULL",
     "nodes",
 )
 def content_one_sided(t: Tables):
@@ -403,7 +403,7 @@ _META = (
     f"WITH {_META}, f AS (SELECT '/doc/' || doc_id AS path, unnest([{{'f': 'title', 'a': trim(title), 'b': trim(CASE WHEN doc_id % 7 = 1 THEN title "
     "|| ' | Shop' ELSE title END)}, {'f': 'description', 'a': trim(source), 'b': trim(CASE WHEN doc_id % 5 = 2 THEN '' ELSE source END)}, "
     "{'f': 'lang', 'a': lang, 'b': CASE WHEN doc_id % 9 = 3 THEN upper(lang) ELSE lang END}]) AS x FROM mp) SELECT path, x.f AS facet, CASE WHEN "
-    "x.b = '' THEN x.f || ' is missing on target' ELSE x.f || ' differs' END AS label FROM f WHERE x.a <> x.b",
+    "x.b = '' THEN x.f || ' left empty by the target' ELSE x.f || ' differs' END AS label FROM f WHERE x.a <> x.b",
 )
 def content_meta_drift(t: Tables):
     n = F.col("doc_id")
@@ -539,7 +539,7 @@ def price_similarity(t: Tables):
 
 @query(
     "price_subject", "G11",
-    f"WITH {_PP} SELECT path, pos, {sql.truncate('xa', 60)} AS subject FROM w", "prices",
+    f"WITH {_PP} SELECT path, pos, xa AS subject FROM w", "prices",
 )
 def price_subject(t: Tables):
     return _placed(t, "prices", assets.PRICE_COLUMNS).select("path", "pos", assets.price_subject("source").alias("subject"))
@@ -672,7 +672,7 @@ def style_parity(t: Tables):
 
 @query(
     "style_top_properties", "J6",
-    f"WITH {_ST}, {_LEN} SELECT property, count(*) AS count FROM sm GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", "styles",
+    f"WITH {_ST}, {_LEN} SELECT property, count(*) AS count FROM sm GROUP BY 1 ORDER BY 2 DESC, 1", "styles",
 )
 def style_top_properties(t: Tables):
     rows = styles.property_comparisons(_styled(t)).where(~F.col("equal"))

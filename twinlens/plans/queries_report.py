@@ -64,7 +64,7 @@ def finding_suppression(t: Tables):
 
 @query(
     "finding_ranking", "I5 K14",
-    f"SELECT category, severity, path, id FROM fid ORDER BY {_ORDER} LIMIT 15", "fid",
+    f"SELECT category, severity, path, id FROM fid ORDER BY {_ORDER}", "fid",
 )
 def finding_ranking(t: Tables):
     return report.worst_findings(t.findings()).select("category", "severity", "path", "id")
@@ -161,7 +161,7 @@ def stats_clean_rate(t: Tables):
 @query(
     "stats_top_pages", "K13",
     _ROLL + "SELECT path, errors, warnings, total_findings FROM roll WHERE total_findings > 0 ORDER BY errors DESC, warnings DESC, "
-    "total_findings DESC, path LIMIT 25", "fid",
+    "total_findings DESC, path", "fid",
 )
 def stats_top_pages(t: Tables):
     pages = stats.page_rollup(_pairs(t), t.findings())
@@ -228,8 +228,7 @@ def report_matrix(t: Tables):
 
 @query(
     "report_matrix_summary", "K3",
-    _MATRIX + f" ORDER BY count(*) FILTER (severity = 'error') DESC, count(*) FILTER (severity = 'warning') DESC, count(*) DESC, path "
-    "LIMIT 15", "fid",
+    _MATRIX + f" ORDER BY count(*) FILTER (severity = 'error') DESC, count(*) FILTER (severity = 'warning') DESC, count(*) DESC, path", "fid",
 )
 def report_matrix_summary(t: Tables):
     return report.summary_matrix(t.findings(), list(VIEWPORTS))
@@ -316,10 +315,9 @@ def report_visual_filter(t: Tables):
 @query(
     "report_visual_marks", "K10",
     f"WITH {_COALESCED}, v AS (SELECT *, coalesce(viewport, 'desktop') AS map_viewport FROM f WHERE {_MARK}), g AS (SELECT path, "
-    "map_viewport, count(*) AS map_size FROM v GROUP BY 1, 2 ORDER BY map_size DESC, path, map_viewport LIMIT 60), r AS (SELECT v.path, "
+    "map_viewport, count(*) AS map_size FROM v GROUP BY 1, 2 ORDER BY map_size DESC, path, map_viewport), r AS (SELECT v.path, "
     f"v.map_viewport, map_size, severity, id, row_number() OVER (PARTITION BY v.path, v.map_viewport ORDER BY {sql.SEV}, id) AS n "
-    "FROM v JOIN g ON g.path = v.path AND g.map_viewport = v.map_viewport) SELECT path, map_viewport, map_size, severity, id, n FROM r "
-    "WHERE n <= 40", "fid",
+    "FROM v JOIN g ON g.path = v.path AND g.map_viewport = v.map_viewport) SELECT path, map_viewport, map_size, severity, id, n FROM r", "fid",
 )
 def report_visual_marks(t: Tables):
     marks = report.visual_marks(t.findings())
@@ -338,7 +336,7 @@ def report_box_shift(t: Tables):
 @query(
     "report_evidence", "K12",
     f"WITH {_COALESCED}, s AS (SELECT *, {_SB} OR {_TB} AS placed FROM f WHERE severity IN ('error', 'warning')), c AS (SELECT id, "
-    f"severity, 'crop' AS evidence FROM s WHERE placed ORDER BY {sql.SEV}, id LIMIT 400) SELECT * FROM c UNION ALL SELECT id, severity, "
+    f"severity, 'crop' AS evidence FROM s WHERE placed ORDER BY {sql.SEV}, id) SELECT * FROM c UNION ALL SELECT id, severity, "
     "'page' FROM s WHERE NOT placed AND category IN ('page.missing-on-target', 'page.extra-on-target')", "fid",
 )
 def report_evidence(t: Tables):
@@ -458,7 +456,7 @@ def diff_run_totals(t: Tables):
     "FROM diff) SELECT bucket, id, n, greatest(size - 20, 0)::BIGINT AS more FROM r WHERE n <= 20", "fid fid_base",
 )
 def diff_top_rows(t: Tables):
-    return rundiff.top_rows(_diff(t)).select("bucket", "id", F.col("n").cast("bigint").alias("n"), "more")
+    return rundiff.top_rows(_diff(t), 20).select("bucket", "id", F.col("n").cast("bigint").alias("n"), "more")
 
 
 @query(
@@ -481,7 +479,7 @@ def diff_self(t: Tables):
 
 @query(
     "noise_floor", "L7",
-    f"SELECT id FROM fid ORDER BY {_ORDER} LIMIT 40", "fid",
+    f"SELECT id FROM fid ORDER BY {_ORDER}", "fid",
 )
 def noise_floor(t: Tables):
     """Ids to accept, from the findings of a self-comparison standing in for one."""

@@ -94,7 +94,7 @@ def finding_id(category: str, path: str, *rest: str) -> str:
     """`rest`: viewport, region, node kind, subject, facet; empty text where absent."""
     parts = [*rest, *["''"] * (5 - len(rest))]
     joined = " || '|' || ".join([category, path, *[f"coalesce({p}, '')" for p in parts]])
-    return f"substr(sha1({joined}), 1, 12)"
+    return f"sha1({joined})"
 
 
 SEV = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"

@@ -6,11 +6,13 @@ a link, a price or a region is decided by column expressions below.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from twinlens.functions.urls import canonicalize, classify_href, in_origins, res
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = tuple("h1 h2 h3 h4 h5 h6 p li td th dt dd blockquote figcaption".split())
 HEADINGS = BLOCKS[:6]
+PRICE_SOURCES = ("jsonld", "microdata", "selector", "text")
 MACHINE = ("script", "style", "noscript", "template")
 CARRIERS = ("img", "button", "select", "textarea")
 CONTROLS = ("button", "summary", "label", "select", "textarea")
@@ -366,17 +369,19 @@ def resolve_links(links: DataFrame, allowed_origins: Sequence[str]) -> DataFrame
 
 
 def image_rows(df: DataFrame) -> DataFrame:
-    """`img` elements and inline background images."""
-    common = ["side", "path", "pos", "region", is_visible().alias("visible")]
+    """`img` elements and inline background images. An element may be both, so each has a position of its own."""
+    common = lambda backdrop: [
+        "side", "path", (F.col("pos").cast("bigint") * 2 + backdrop).alias("pos"), "region", is_visible().alias("visible")
+    ]
     size = lambda name: F.coalesce(F.col("attrs")[name].try_cast("int"), F.lit(0))
     shown = df.where(F.col("tag") == "img").select(
-        *common, F.coalesce(F.col("attrs")["src"], F.lit("")).alias("src"),
+        *common(0), F.coalesce(F.col("attrs")["src"], F.lit("")).alias("src"),
         F.coalesce(F.col("attrs")["alt"], F.lit("")).alias("alt"), size("width").alias("natural_width"),
         size("height").alias("natural_height"), F.lit(False).alias("is_background"),
     )
     url = F.regexp_extract(F.col("attrs")["style"], r"background(?:-image)?\s*:[^;]*url\((['\"]?)(.*?)\1\)", 2)
     backdrop = df.where(F.coalesce(url, F.lit("")) != "").select(
-        *common, url.alias("src"), F.lit("").alias("alt"), F.lit(0).alias("natural_width"),
+        *common(1), url.alias("src"), F.lit("").alias("alt"), F.lit(0).alias("natural_width"),
         F.lit(0).alias("natural_height"), F.lit(True).alias("is_background"),
     )
     return shown.unionByName(backdrop)
@@ -408,7 +413,7 @@ def page_meta(df: DataFrame) -> DataFrame:
 
 
 def price_context(df: DataFrame) -> DataFrame:
-    """Add `context`: text of the nearest card-like ancestor, else of the parent, 160 characters."""
+    """Add `context`: text of the nearest card-like ancestor, else of the parent, in full."""
     keys = ["side", "path"]
     card = lambda n: (
         n["itemscope"] | n["tag"].isin("article", "li", "tr")
@@ -418,40 +423,60 @@ def price_context(df: DataFrame) -> DataFrame:
     holder = F.coalesce(near, F.col("parent"))
     texts = df.select(*keys, F.col("pos").alias("_holder"), F.col("inner_text").alias("_card"))
     joined = df.withColumn("_holder", holder).join(texts, [*keys, "_holder"], "left")
-    short = F.regexp_replace(F.substring(F.trim(F.coalesce(F.col("_card"), F.lit(""))), 1, 160), r"\s+", " ")
+    short = F.regexp_replace(F.trim(F.coalesce(F.col("_card"), F.lit(""))), r"\s+", " ")
     return joined.withColumn("context", short).drop("_holder", "_card")
 
 
-def json_ld_prices(raw: DataFrame, levels: int = 6) -> DataFrame:
-    """Prices in structured data blocks, walked level by level through objects and lists."""
+def _place(sub: Column | int, source: str) -> Column:
+    """A position of its own for each row of an element: the element's, then the row's, then the kind of source."""
+    below = (F.lit(sub) if isinstance(sub, int) else sub).cast("bigint") * len(PRICE_SOURCES) + PRICE_SOURCES.index(source)
+    return F.shiftleft(F.col("pos").cast("bigint"), 24) + below
+
+
+def _structured_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per object that names a price, at any depth, in the order of the text."""
+    for batch in batches:
+        names = ["side", "path", "pos", "sub", "raw", "context", "hint"]
+        rows: dict[str, list] = {n: [] for n in names}
+        for side, path, pos, text in zip(*(batch.column(n).to_pylist() for n in ("side", "path", "pos", "own_text")), strict=True):
+            try:
+                # Numbers stay as they are written.
+                stack = [json.loads(text or "", parse_float=str, parse_int=str)]
+            except ValueError:
+                continue
+            sub = 0
+            while stack:
+                node = stack.pop()
+                if isinstance(node, list):
+                    stack.extend(reversed(node))
+                elif isinstance(node, dict):
+                    said = lambda name, node=node: node[name] if isinstance(node.get(name), str) else None
+                    raw = next((v for v in map(said, ("price", "lowPrice", "highPrice")) if v is not None), None)
+                    if raw is not None:
+                        values = (side, path, pos, sub, raw, said("name") or said("@type") or "", said("priceCurrency"))
+                        for name, value in zip(names, values, strict=True):
+                            rows[name].append(value)
+                    sub += 1
+                    stack.extend(v for v in reversed(node.values()) if isinstance(v, dict | list))
+        kinds = [batch.schema.field("side").type, batch.schema.field("path").type, batch.schema.field("pos").type, pa.int32(), pa.string(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds, strict=True)], names)
+
+
+def json_ld_prices(raw: DataFrame) -> DataFrame:
+    """Prices in structured data blocks: texts and numbers of objects at any depth.
+
+    The blocks are read once; a block that is no JSON gives no row.
+    """
     scripts = raw.where(
         (F.col("tag") == "script") & (F.lower(F.coalesce(F.col("attrs")["type"], F.lit(""))) == "application/ld+json")
-    ).select("side", "path", "pos", F.try_parse_json(F.col("own_text")).alias("node"))
-    # Each level unpacks lists and object members; six reach every nesting schema.org uses.
-    layers = [scripts.where(F.col("node").isNotNull())]
-    for _ in range(levels):
-        top = layers[-1]
-        top.createOrReplaceTempView("_json_ld_level")
-        layers.append(
-            top.sparkSession.sql(
-                "SELECT side, path, l.pos AS pos, v.value AS node FROM _json_ld_level l, "
-                "LATERAL variant_explode_outer(l.node) AS v(idx, key, value) "
-                "WHERE schema_of_variant(v.value) LIKE 'OBJECT%' OR schema_of_variant(v.value) LIKE 'ARRAY%'"
-            )
-        )
-    every = layers[0]
-    for layer in layers[1:]:
-        every = every.unionByName(layer)
-    get = lambda name: F.try_variant_get("node", f"$.{name}", "string")
-    objects = every.where(F.schema_of_variant("node").startswith("OBJECT"))
-    price = F.coalesce(get("price"), get("lowPrice"), get("highPrice"))
-    kind = F.try_variant_get("node", "$['@type']", "string")
-    rows = objects.select(
-        "side", "path", "pos", price.alias("raw"), F.lit("jsonld").alias("source"), F.lit("other").alias("region"),
-        F.coalesce(F.when(get("name") != "", get("name")), kind, F.lit("")).alias("context"),
-        get("priceCurrency").alias("hint"),
+    ).select("side", "path", "pos", "own_text")
+    kinds = {f.name: f.dataType.simpleString() for f in scripts.schema}
+    schema = f"side {kinds['side']}, path {kinds['path']}, pos {kinds['pos']}, sub int, raw string, context string, hint string"
+    found = scripts.mapInArrow(_structured_prices, schema)
+    return found.select(
+        "side", "path", _place(F.col("sub"), "jsonld").alias("pos"), "raw", F.lit("jsonld").alias("source"),
+        F.lit("other").alias("region"), "context", "hint",
     )
-    return rows.where(F.col("raw").isNotNull())
 
 
 def marked_prices(df: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
@@ -467,15 +492,15 @@ def marked_prices(df: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
         .groupBy(*keys, F.col("s.pos").alias("_scope")).agg(F.min_by("hint", "pos").alias("hint"))
     )
     micro = here.where((prop == "price") & (content != "")).withColumn("_scope", scope)
-    columns = [*keys, "pos", content.alias("raw")]
+    columns = [*keys, _place(0, "microdata").alias("pos"), content.alias("raw")]
     rows = micro.join(currencies, [*keys, "_scope"], "left").select(
         *columns, F.lit("microdata").alias("source"), "region", "context", "hint"
     )
-    for selector in selectors:
+    for number, selector in enumerate(selectors):
         text = F.trim(F.col("inner_text"))
         rows = rows.unionByName(
             here.where(matches_selector(selector) & (text != "")).select(
-                *keys, "pos", text.alias("raw"), F.lit("selector").alias("source"), "region", "context",
+                *keys, _place(number, "selector").alias("pos"), text.alias("raw"), F.lit("selector").alias("source"), "region", "context",
                 F.lit(None).cast("string").alias("hint"),
             )
         )
@@ -485,8 +510,9 @@ def marked_prices(df: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
 def text_prices(df: DataFrame) -> DataFrame:
     """Currency-looking runs in every text node."""
     here = price_context(df)
-    rows = here.select("side", "path", "pos", "region", "context", F.explode("runs").alias("run"))
+    found = F.flatten(F.transform("runs", scan_currency))
+    rows = here.select("side", "path", "pos", "region", "context", F.posexplode(found).alias("sub", "raw"))
     return rows.select(
-        "side", "path", "pos", F.explode(scan_currency(F.col("run"))).alias("raw"), F.lit("text").alias("source"),
+        "side", "path", _place(F.col("sub"), "text").alias("pos"), "raw", F.lit("text").alias("source"),
         "region", "context", F.lit(None).cast("string").alias("hint"),
     )

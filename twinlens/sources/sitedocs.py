@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.urls import clean_url
 from twinlens.operators.scan import first_rows
 from twinlens.session import cut_lineage
 
-MAX_DOCUMENTS = 20
-MAX_URLS = 10_000
 _LOC = r"(?s)<(?:[A-Za-z0-9_]+:)?loc[^>]*>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"
 _BLOCK = r"(?s)<(?:[A-Za-z0-9_]+:)?{tag}(?:\s[^>]*)?>.*?</(?:[A-Za-z0-9_]+:)?{tag}>"
 
@@ -42,50 +40,47 @@ def sitemap_children(documents: DataFrame) -> DataFrame:
     return _locations(documents, "sitemap").withColumnRenamed("loc", "child_url")
 
 
-def expand_sitemaps(documents: DataFrame, roots: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """Documents visited per host, breadth first, at most `max_documents` each (the feature's cap).
+def expand_sitemaps(documents: DataFrame, roots: DataFrame, max_documents: int | None = None) -> DataFrame:
+    """Documents visited per host, breadth first, until no document names a new one.
 
-    `roots(host, doc_url, seq)` holds declared locations first, then the default one. A rank
-    that is cut right away stays small before the shuffle.
+    `roots(host, doc_url, seq)` holds declared locations first, then the default one. `place` is the
+    visiting order inside a level: the place of the document that names it, then the line. With
+    `max_documents`, only the first ones of each host. Bodies are read once; a round reads names only.
     """
-    children = sitemap_children(documents)
+    children = cut_lineage(sitemap_children(documents).select("host", "doc_url", "child_url", _digits("pos").alias("line")))
     known = documents.where(F.col("kind") == "sitemap").select("host", "doc_url")
     first = first_rows(roots.select("host", "doc_url", "seq"), ["host", "doc_url"], [F.col("seq")])
+    frontier = visited = cut_lineage(first.select("host", "doc_url", _digits("seq").alias("place"), F.lit(0).alias("level")))
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
+        named = frontier.join(children, ["host", "doc_url"]).groupBy("host", F.col("child_url").alias("doc_url"))
+        step = named.agg(F.min(F.concat_ws(".", "place", "line")).alias("place"))
+        step = step.join(visited.select("host", "doc_url"), ["host", "doc_url"], "left_anti")
+        frontier = cut_lineage(step.withColumn("level", F.lit(level)))
+        visited = visited.unionByName(frontier)
+    return _first_of_host(visited, max_documents, "level", "place", "doc_url").join(known, ["host", "doc_url"], "left_semi")
 
-    def capped(df: DataFrame) -> DataFrame:
-        place = Window.partitionBy("host").orderBy("level", "seq", "doc_url")
-        return df.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_documents).drop("_n")
-
-    visited = cut_lineage(capped(first.withColumn("level", F.lit(0))))
-    frontier = visited
-    for level in range(1, max_documents):
-        step = (
-            frontier.alias("f").join(children.alias("c"), ["host", "doc_url"])
-            .groupBy("host", F.col("c.child_url").alias("doc_url"))
-            .agg(F.min(F.struct(F.col("f.seq").alias("a"), F.col("c.pos").alias("b"))).alias("o"))
-            .join(visited.select("host", "doc_url"), ["host", "doc_url"], "left_anti")
-        )
-        place = Window.partitionBy("host").orderBy("o", "doc_url")
-        step = step.withColumn("seq", F.row_number().over(place)).where(F.col("seq") <= max_documents)
-        step = step.select("host", "doc_url", F.col("seq").cast("bigint").alias("seq"), F.lit(level).alias("level"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        visited = cut_lineage(capped(visited.unionByName(frontier)))
-        frontier = frontier.join(visited.select("host", "doc_url"), ["host", "doc_url"], "left_semi")
-    return visited.join(known, ["host", "doc_url"], "left_semi")
-
-
-def sitemap_seeds(documents: DataFrame, visited: DataFrame, max_urls: int = MAX_URLS) -> DataFrame:
-    """Distinct page URLs of the visited sitemaps, at most `max_urls` per host in visiting order."""
+
+def _digits(name: str) -> Column:
+    """A number as text that sorts like it."""
+    return F.lpad(F.col(name).cast("string"), 12, "0")
+
+
+def _first_of_host(df: DataFrame, rows: int | None, *order: str) -> DataFrame:
+    if rows is None:
+        return df
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where(F.col("_n") <= rows).drop("_n")
+
+
+def sitemap_seeds(documents: DataFrame, visited: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """Distinct page URLs of the visited sitemaps; with `max_urls`, the first of each host in visiting order."""
     listed = sitemap_urls(documents).join(visited, ["host", "doc_url"])
     distinct = first_rows(
-        listed.select("host", F.col("loc").alias("url"), "level", "seq", "pos"), ["host", "url"],
-        [F.col("level"), F.col("seq"), F.col("pos")],
+        listed.select("host", F.col("loc").alias("url"), "level", "place", "pos"), ["host", "url"],
+        [F.col("level"), F.col("place"), F.col("pos")],
     )
-    place = Window.partitionBy("host").orderBy("level", "seq", "pos", "url")
-    ranked = distinct.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= max_urls)
-    return ranked.select("host", "url")
+    return _first_of_host(distinct, max_urls, "level", "place", "pos", "url").select("host", "url")
 
 
 def robots_lines(documents: DataFrame) -> DataFrame:
