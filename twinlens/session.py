@@ -65,6 +65,11 @@ def _file_system(spark: SparkSession, place: str):
     return path.getFileSystem(context._jsc.hadoopConfiguration()), path
 
 
+def is_folder(spark: SparkSession, place: str) -> bool:
+    system, path = _file_system(spark, place)
+    return system.getFileStatus(path).isDirectory()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the run's folder, not yet there."""
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from twinlens.session import is_folder
+
+FRAME = 10_000
 
 def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
@@ -27,8 +31,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class OfferProcessor(StatefulProcessor):
     """Best depth seen per URL, whether it was queued, and the verdict on each offer.
 
-    The state is two numbers per URL. A batch of one URL's offers is read frame by frame, so
-    a URL with very many offers is never held whole.
+    The state is two numbers per URL. Of a batch's offers of one URL only arrival and depth are
+    kept, to bring them into order of arrival across frames.
     """
 
     def __init__(self, max_depth: int) -> None:
@@ -39,44 +43,47 @@ class OfferProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best, queued = self.state.get() if self.state.exists() else (None, False)
-        for frame in rows:
-            frame = frame.sort_values("seq")
-            verdicts = []
-            for depth in frame["depth"].tolist():
-                if best is not None and best <= depth:
-                    verdicts.append("duplicate")
-                    continue
-                best = depth
-                if depth > self.max_depth:
-                    verdicts.append("depth-exceeded")
-                else:
-                    verdicts.append("promoted" if queued else "accepted")
-                    queued = True
-            yield frame.assign(decision=verdicts)[OFFER_SCHEMA.fieldNames()]
-        if best is not None:
-            self.state.update((best, queued))
+        parts = [(f["seq"].to_numpy(np.int64), f["depth"].to_numpy(np.int32)) for f in rows]
+        seq, depth = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, depth = seq[order], depth[order]
+        start = np.iinfo(np.int32).max if best is None else best
+        least = np.minimum(np.minimum.accumulate(depth), start)
+        # The first offer ever is never a duplicate; any other is one unless it is shallower than all before.
+        before = np.concatenate([[start], least[:-1]])
+        better = depth < before
+        better[0] |= best is None
+        queues = np.flatnonzero(better & (depth <= self.max_depth))
+        verdict = np.where(better, "depth-exceeded", "duplicate").astype(object)
+        verdict[queues] = "promoted"
+        if len(queues) and not queued:
+            verdict[queues[0]] = "accepted"
+        self.state.update((int(least[-1]), bool(queued or len(queues))))
+        for low in range(0, len(seq), FRAME):
+            part = slice(low, low + FRAME)
+            frame = pd.DataFrame({"seq": seq[part], "depth": depth[part], "decision": verdict[part]})
+            yield frame.assign(side=key[0], c_href=key[1])[OFFER_SCHEMA.fieldNames()]
 
     def close(self) -> None:
         pass
 
 
 class ContentProcessor(StatefulProcessor):
-    """First page per content hash; later ones are its aliases."""
+    """First page per content hash, by arrival across all frames of a batch; later ones are its aliases."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("first", "href string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self.state.get()[0] if self.state.exists() else None
-        for frame in rows:
-            frame = frame.sort_values("seq")
-            if first is None:
-                first = frame["href"].iloc[0]
-                self.state.update((first,))
-            own = frame["href"] == first
-            yield frame.assign(alias_of=frame["href"].where(own).notna().map({True: None, False: first}))[
-                ALIAS_SCHEMA.fieldNames()
-            ]
+        frames = list(rows)
+        if self.state.exists():
+            first = self.state.get()[0]
+        else:
+            _, first = min((f["seq"].iloc[i], f["href"].iloc[i]) for f in frames for i in [int(f["seq"].to_numpy().argmin())])
+            self.state.update((first,))
+        for frame in frames:
+            alias = [None if href == first else first for href in frame["href"]]
+            yield frame.assign(alias_of=alias)[ALIAS_SCHEMA.fieldNames()]
 
     def close(self) -> None:
         pass
@@ -104,15 +111,22 @@ def first_seen_stream(offers: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there now, into Parquet files, and return them."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def pages_as_offers(spark, sf_dir: str, schema: T.StructType) -> DataFrame:
     """Pages of a folder as a stream of captures: the URL, its arrival and the hash of its content."""
-    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    place = f"{sf_dir}/pages.parquet"
+    reader = spark.readStream.schema(schema)
+    pages = reader.parquet(place) if is_folder(spark, place) else reader.option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
     return pages.select(
         F.lit("source").alias("side"), F.sha1("html").alias("content_hash"), F.col("page_id").alias("seq"),
         F.col("url").alias("href"),
