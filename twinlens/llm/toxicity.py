@@ -58,7 +58,7 @@ def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """For each page its terms, once each: word hashes (stem 0) and hashes of word beginnings (their bytes)."""
     tables = powers(CHUNK + 1)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=1 << 20):
             data, at = buffers(part.column("text"))
             starts, ends, first = bounds(data, at, alphanumeric())
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -79,7 +79,7 @@ def _family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The least shingle hash of each page; near copies mostly share it."""
     tables = powers(CHUNK + 1)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=2 << 20):
             shingles, _, begin = page_shingles(part.column("text"), tables)
             least = [int(shingles[i]) if j > i else 0 for i, j in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), pa.array(np.array(least, np.uint64).view(np.int64))], ["text", "toxic", "family"])
@@ -90,7 +90,7 @@ def _features(shipped):
         tables, lexicon, (plain, stays) = powers(CHUNK + 1), shipped.value, _disguise_tables()
         address = np.sort(np.array([hash_word(w) for w in SECOND_PERSON], np.uint64))
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=1 << 20):
                 table = page_features(part.column("text"), lexicon, address, plain, stays, tables)
                 names = [n for n in part.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(table[:, i]) for i in range(len(FEATURES)))], [*names, *FEATURES])
