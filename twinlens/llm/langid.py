@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlens.llm.shared import keep, page_texts, schema
+from twinlens.llm.words import slices
 
 SAMPLE_PAGES = 20_000
 MOST_WORDS = 100_000
@@ -29,7 +30,7 @@ def _terms(longest: int):
         import regex
 
         letters = regex.compile(r"\p{L}+")
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(letters.findall((text or "").lower()))
@@ -73,17 +74,18 @@ def learn_languages(
     counted = sample.mapInArrow(_terms(longest), schema(("kind", "string"), ("lang", "string"), ("term", "string"), ("n", "long")))
     counted = keep(counted.groupBy("kind", "lang", "term").agg(F.sum("n").alias("n")))
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
-    totals = {(r["kind"], r["lang"]): (r["n"], r["v"]) for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     model: dict = {"languages": languages, "longest": longest}
-    rows = []
+    tables, before = [], 0
     for kind, most in (("word", most_words), ("gram", most_grams)):
-        whole = counted.filter(F.col("kind") == kind).groupBy("term").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        best = whole.orderBy(F.desc("n"), "term").limit(most).select("term", "by").collect()
-        model[kind + "s"] = {r["term"]: len(rows) + i for i, r in enumerate(best)}
-        size = len(best) + 1
-        for r in best:
-            rows.append([np.log((r["by"].get(lang, 0) + 0.1) / (totals.get((kind, lang), (0, 0))[0] + 0.1 * size)) for lang in languages])
-    model["scores"] = np.array(rows).reshape(len(rows), len(languages))
+        own = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)).alias(f"l{i}") for i, lang in enumerate(languages)]
+        whole = counted.filter(F.col("kind") == kind).groupBy("term").agg(F.sum("n").alias("all"), *own)
+        best = whole.orderBy(F.desc("all"), "term").limit(most).drop("all").toPandas()
+        total = np.array([totals.get((kind, lang), 0) for lang in languages])
+        tables.append(np.log((best.iloc[:, 1:].to_numpy(float) + 0.1) / (total + 0.1 * (len(best) + 1))))
+        model[kind + "s"] = dict(zip(best["term"].tolist(), range(before, before + len(best)), strict=True))
+        before += len(best)
+    model["scores"] = np.concatenate(tables)
     return model
 
 
@@ -109,7 +111,7 @@ def _predict(shipped):
         letters, model = regex.compile(r"\p{L}+"), shipped.value
         place: dict[str, int] = {}
         table = np.zeros((1024, max(1, len(model["languages"]))))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, size=2 << 20)):
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
                 words = Counter(letters.findall((text or "").lower()))
