@@ -59,7 +59,7 @@ def test_equals_brute_force_with_chains_and_awkward_rows(spark):
     passage = prose(3, 80)
     rows += [(f"/pass{i}", passage + " " + prose(80 + i, 70)) for i in range(20)]
     want = groups_of(rows)
-    got = near_copies(pages(spark, rows), full_pairs=4).collect()
+    got = near_copies(pages(spark, rows), chunk_ids=4).collect()
     assert len(got) == len(rows)
     texts, members, least = {}, {}, {}
     for p, t in rows:

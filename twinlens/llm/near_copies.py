@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlens.llm.shared import keep, page_texts, schema
+from twinlens.llm.shared import few_rows_at_once, keep, page_texts, schema
 from twinlens.llm.words import CHUNK, alphanumeric, buffers, join_hash, mix, powers, slices, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 32
-ROWS = 6
-FULL_PAIRS = 64
+REGISTERS = 192
+BANDS = 64
+ROWS = 8
+CHUNK_IDS = 128
+# A pair goes on to its texts if so much less than the wanted similarity of its registers agree: four deviations.
+MARGIN = 0.12
 MOST_IDS = 1_000_000
 
 
@@ -77,9 +80,17 @@ def prob_min_hash(shingles: np.ndarray, weights: np.ndarray, begin: np.ndarray,
     return holder.reshape(texts, registers)
 
 
-def _sign(bands: int, rows: int, width: int):
+def band_registers(registers: int, bands: int, rows: int) -> np.ndarray:
+    """The registers of each band: shuffles of all registers, each cut into bands."""
+    made = np.random.default_rng(20)
+    each = registers // rows
+    shuffles = [made.permutation(registers)[: each * rows].reshape(each, rows) for _ in range(-(-bands // each))]
+    return np.concatenate(shuffles)[:bands]
+
+
+def _sign(registers: int, bands: int, rows: int, width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = powers(CHUNK + 1)
+        tables, chosen = powers(CHUNK + 1), band_registers(registers, bands, rows)
         for batch in batches:
             for part in slices(batch, size=2 << 20):
                 # Copies inside the slice are signed once.
@@ -87,12 +98,13 @@ def _sign(bands: int, rows: int, width: int):
                 part = part.take(pa.array(np.sort(np.unique(ids, return_index=True)[1])))
                 shingles, times, begin = page_shingles(part.column("text"), tables, width)
                 full = np.diff(begin) > 0
-                signature = prob_min_hash(shingles, times, begin, bands * rows)[full].reshape(-1, bands, rows)
-                keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), signature.shape[:2])
+                signature = prob_min_hash(shingles, times, begin, registers)[full]
+                keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(signature), bands))
                 for r in range(rows):
-                    keys = join_hash(keys, signature[:, :, r])
+                    keys = join_hash(keys, signature[:, chosen[:, r]])
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(full)), listed], ["id", "keys"])
+                short = pa.array([row.tobytes() for row in (signature & np.uint64(255)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(full)), listed, short], ["id", "keys", "registers"])
 
     return sign
 
@@ -130,23 +142,22 @@ def _verify(similarity: float, width: int):
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (`a`, `b`) of text ids whose probability Jaccard similarity is `similarity` or more.
-
-    Only the texts in some pair are fetched, one row for each. The list of those is broadcast up to
-    MOST_IDS ids and joined by shuffle beyond.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").select("id", "class_path")
-    wanted = keep(wanted)
+def fetch(ids: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """`id, text` of the wanted ids, one row each. The list of ids is broadcast up to MOST_IDS and joined by shuffle beyond."""
+    wanted = keep(ids.distinct().join(classes, "id").select("id", "class_path"))
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
     wanted = wanted.select(F.col("id").alias("wanted_id"), "class_path")
     same = (F.col("id") == F.col("wanted_id")) & F.col("path").eqNullSafe(F.col("class_path"))
-    fetched = keep(texts.join(wanted, same, "left_semi").groupBy("id", "text").agg(F.lit(1).alias("one")).select("id", "text"))
+    return keep(texts.join(wanted, same, "left_semi").groupBy("id", "text").agg(F.lit(1).alias("one")).select("id", "text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (`a`, `b`) of text ids whose probability Jaccard similarity is `similarity` or more."""
+    fetched = fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts, classes)
     left = fetched.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = fetched.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    kind = pairs.schema["a"].dataType
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify(similarity, width), schema(("a", kind), ("b", kind)))
+    return both.mapInArrow(_verify(similarity, width), schema(("a", "binary"), ("b", "binary")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,7 +183,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    pages: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, full_pairs: int = FULL_PAIRS
+    pages: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE, registers: int = REGISTERS, bands: int = BANDS, rows: int = ROWS,
+    chunk_ids: int = CHUNK_IDS,
 ) -> DataFrame:
     """One row per captured page with the group of near copies that it belongs to.
 
@@ -184,11 +196,11 @@ def near_copies(
     (links found and verified from the page's text to other texts; enough to connect the group, not
     all of its pairs) and `kept` (the page's path is the group's least).
 
-    Banding (32 bands of 6 registers by default) misses a pair of similarity 0.8 with a chance of 6
-    in 100,000, and more similar ones less; nothing else is lost. In each band a text is first
-    verified against two texts of its bucket. Only texts of a bucket that are still in different
-    groups are then paired, in buckets of more than `full_pairs` texts under a second band that they
-    must share too.
+    Banding (64 bands of 8 out of 192 registers by default) misses a pair of similarity 0.8 with a
+    chance of 1 in 3,000 and one of 0.85 with 1 in 300,000; nothing else is lost. In each bucket of
+    a band, every text is first verified against two others, one of them the text that shares most
+    buckets with most texts. Texts of a bucket that are still in different groups are then compared
+    with each other by their registers, in blocks of `chunk_ids`, and those that come near by their texts.
 
     A null text counts as empty; a wordless text is linked to none, and such texts are a group only
     if equal. Null paths sort below every other. Repeated rows return a row each. An empty table
@@ -197,18 +209,19 @@ def near_copies(
     texts = page_texts(pages).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("id", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     keyed = keep(texts.select("path", "id"))
     classes = keep(keyed.groupBy("id").agg(_least("path").alias("class_path")))
-    signed = texts.select("id", "text").mapInArrow(_sign(bands, rows, width), schema(("id", "binary"), ("keys", T.ArrayType(T.LongType()))))
+    signed = texts.select("id", "text").mapInArrow(
+        _sign(registers, bands, rows, width), schema(("id", "binary"), ("keys", T.ArrayType(T.LongType())), ("registers", "binary"))
+    )
     signed = keep(signed.dropDuplicates(["id"]))
     banded = signed.select("id", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest")).filter("n > 1")
-    members = keep(banded.join(buckets, "key"))
-    # Ids are digests, so least and greatest are two unrelated texts of the bucket.
-    star = members.select(F.explode(F.array("least", "greatest")).alias("a"), F.col("id").alias("b")).filter("a <> b")
+    members = keep(banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"))
+    central = members.join(members.groupBy("id").agg(F.sum("n").alias("shared")), "id")
+    ends = central.groupBy("key").agg(F.max_by("id", F.struct("shared", "id")).alias("centre"), F.min("id").alias("least"))
+    star = members.join(ends, "key").select(F.explode(F.array("centre", "least")).alias("a"), F.col("id").alias("b")).filter("a <> b")
     star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = keep(verified(star, texts, classes, similarity, width))
-    rest = keep(_between_groups(members, components(links), signed, full_pairs).join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = keep(links.unionByName(verified(rest, texts, classes, similarity, width)))
+    links = links.unionByName(_links_between_groups(members, components(links), signed, texts, classes, similarity, width, chunk_ids))
+    links = keep(links.distinct())
     groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     labelled = keep(classes.join(groups, "id", "left").join(degree, "id", "left").select("id", "class_path", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
@@ -225,22 +238,65 @@ def _least(name: str) -> Column:
     return F.when(~F.max(F.col(name).isNull()), F.min(name))
 
 
-def _between_groups(members: DataFrame, groups: DataFrame, signed: DataFrame, full_pairs: int) -> DataFrame:
-    """Pairs of texts that share a bucket but are in different groups so far."""
+def _alike(similarity: float, width: int):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = powers(CHUNK + 1)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, same = batch.column("key")[row].as_py(), batch.column("same")[row].as_py()
+                x = _block(batch.column("left")[row].values)
+                y = x if same else _block(batch.column("right")[row].values)
+                found: tuple[list, list] = ([], [])
+                for i in range(len(x["id"])):
+                    j = np.flatnonzero((y["sign"] == x["sign"][i]).mean(1) >= similarity - MARGIN)
+                    j = j[(y["group"][j] != x["group"][i]) & (j > i if same else True)]
+                    # Texts that share more buckets are compared in the first of them.
+                    j = j[x["keys"][i][(y["keys"][j] == x["keys"][i]).argmax(1)] == key]
+                    for other in j:
+                        if probability_jaccard(*_shingles_of(x, i, tables, width), *_shingles_of(y, other, tables, width)) >= similarity - 1e-12:
+                            found[0].append(min(x["id"][i], y["id"][other]))
+                            found[1].append(max(x["id"][i], y["id"][other]))
+                if found[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], ["a", "b"])
+
+    return alike
+
+
+def _block(items: pa.StructArray) -> dict:
+    n = len(items)
+    return {
+        "id": items.field("id").to_pylist(), "group": np.array(items.field("group").to_pylist(), object), "text": items.field("text"), "shingles": {},
+        "sign": np.frombuffer(b"".join(items.field("registers").to_pylist()), np.uint8).reshape(n, -1),
+        "keys": items.field("keys").flatten().to_numpy().reshape(n, -1),
+    }
+
+
+def _shingles_of(block: dict, i: int, tables: tuple, width: int) -> tuple[np.ndarray, np.ndarray]:
+    if i not in block["shingles"]:
+        block["shingles"][i] = page_shingles(block["text"].slice(i, 1), tables, width)[:2]
+    return block["shingles"][i]
+
+
+def _links_between_groups(
+    members: DataFrame, groups: DataFrame, signed: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, width: int, chunk_ids: int
+) -> DataFrame:
+    """Links of texts that share a bucket but are in different groups so far.
+
+    A bucket is cut into blocks of about `chunk_ids` texts. A row holds two blocks of one bucket, so
+    no task holds a bucket; pairs are compared by registers and, if those come near, by texts inside
+    the row, and only links leave it.
+    """
     placed = members.select("id", "key", "n").join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    placed = keep(_mixed(placed, "key"))
-    small = placed.filter(F.col("n") <= full_pairs).select("id", "group", "key", F.lit(0).cast("long").alias("second"))
-    other = signed.select("id", F.explode("keys").alias("second"))
-    large = placed.filter(F.col("n") > full_pairs).join(other, "id").filter("second <> key")
-    large = large.select("id", "group", F.least("key", "second").alias("key"), F.greatest("key", "second").alias("second")).distinct()
-    cells = keep(small.unionByName(_mixed(large, "key", "second")))
-    # Every cross-group pair has a side outside the cell's largest group.
-    sizes = cells.groupBy("key", "second", "group").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key", "second").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
-    minor = cells.join(largest, ["key", "second"]).filter("group <> largest").select("key", "second", F.col("id").alias("x"), F.col("group").alias("gx"))
-    every = cells.select("key", "second", F.col("id").alias("y"), F.col("group").alias("gy"))
-    pairs = minor.join(every, ["key", "second"]).filter("gx <> gy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    placed = keep(_mixed(keep(placed), "key"))
+    whole = fetch(placed.select("id"), texts, classes).join(signed, "id")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / chunk_ids)).cast("int")
+    item = F.struct("id", "group", "text", "keys", "registers")
+    blocks = keep(placed.join(whole, "id").groupBy("key", chunk.alias("chunk")).agg(F.collect_list(item).alias("block")))
+    left = blocks.select("key", F.col("chunk").alias("i"), F.col("block").alias("left"))
+    right = blocks.select("key", F.col("chunk").alias("j"), F.col("block").alias("right"))
+    both = left.join(right, "key").filter("i <= j").select("key", "left", F.when(F.col("i") < F.col("j"), F.col("right")).alias("right"), (F.col("i") == F.col("j")).alias("same"))
+    with few_rows_at_once(members.sparkSession, 4):
+        return keep(both.mapInArrow(_alike(similarity, width), schema(("a", "binary"), ("b", "binary"))).distinct())
 
 
 def _mixed(placed: DataFrame, *cell: str) -> DataFrame:

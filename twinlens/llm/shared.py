@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,18 @@ def schema(*fields: tuple[str, T.DataType | str]) -> T.StructType:
     return T.StructType([T.StructField(n, named[t] if isinstance(t, str) else t) for n, t in fields])
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While open, batches sent to Python hold so few rows; for actions over rows that are large by design."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def page_texts(pages: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator reads, so that further columns of any name cannot clash."""
     return pages.select("path", "text", *more)
