@@ -30,7 +30,7 @@ def _index(vocabulary) -> object:
         shard, tables, inside = TaskContext.get().partitionId() << 24, powers(CHUNK + 1), alphanumeric()
         wanted = None if vocabulary is None else vocabulary.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=8 << 20):
                 data, at = buffers(part.column("text"))
                 starts, ends, first = bounds(data, at, inside)
                 terms = hashes(data, starts, ends, tables)

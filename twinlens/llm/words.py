@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
