@@ -14,6 +14,7 @@ from twinlens.llm.langid import identify_languages, learn_languages
 from twinlens.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_A_WORD, SPELLINGS, known_licenses, page_licenses
 from twinlens.llm.near_copies import near_copies
 from twinlens.llm.pieces import decode_pages, encode_pages
+from twinlens.llm.shared import keep
 from twinlens.llm.suffix_tree import score_pages
 from twinlens.llm.token_counts import token_counts
 from twinlens.llm.tool_calls import format_chats
@@ -51,10 +52,11 @@ def model_bytes(name: str) -> bytes:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, documents = model_bytes(PIECES), table(spark, sf_dir, "documents")
     # A text comes back with plain spaces for U+2581, so that is what its digest is of.
-    digest = lambda text: F.unhex(F.sha2(F.replace(F.coalesce(text, F.lit("")), F.lit("▁"), F.lit(" ")), 256))
-    marked = documents.select(F.struct("doc_id", digest(F.col("text")).alias("sha")).alias("path"), "text")
-    back = decode_pages(encode_pages(marked, model), model)
-    return back.select("path.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (digest(F.col("text")) == F.col("path.sha")).alias("round_trip"))
+    digest = lambda text: F.xxhash64(F.replace(F.coalesce(text, F.lit("")), F.lit("▁"), F.lit(" ")))
+    marked = documents.select(F.struct("doc_id", digest(F.col("text")).alias("digest")).alias("path"), "text")
+    # Stored between, so that the two models never share an executor's memory.
+    back = decode_pages(keep(encode_pages(marked, model)), model)
+    return back.select("path.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (digest(F.col("text")) == F.col("path.digest")).alias("round_trip"))
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

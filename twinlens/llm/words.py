@@ -52,10 +52,11 @@ def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)) ^ mix(right + np.uint64(0x2545F4914F6CDD1D))
 
 
-def byte_values() -> np.ndarray:
-    """One scrambled value per byte; capital ASCII letters share the value of their small letter."""
+def byte_values(fold: bool = True) -> np.ndarray:
+    """One scrambled value per byte; with `fold`, capital ASCII letters share the value of their small letter."""
     values = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
-    values[0x41:0x5B] = values[0x61:0x7B]
+    if fold:
+        values[0x41:0x5B] = values[0x61:0x7B]
     return values
 
 
@@ -116,12 +117,12 @@ def bounds(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: tuple | None = None) -> np.ndarray:
-    """A 64-bit hash of each word, blind to the case of A-Z. Memory follows CHUNK and the longest word."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tables: tuple | None = None, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, with `fold` blind to the case of A-Z. Memory follows CHUNK and the longest word."""
     out = np.empty(len(starts), np.uint64)
     if not len(starts):
         return out
-    values = byte_values()
+    values = byte_values(fold)
     longest = int((ends - starts).max())
     ahead, back = tables if tables and len(tables[0]) > longest else powers(max(CHUNK, longest) + 1)
     size, i = len(ahead) - 1, 0
