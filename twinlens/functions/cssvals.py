@@ -272,12 +272,11 @@ def compare_css(
         & (whole | (color_skeleton(a) == color_skeleton(b)))
     )
     df = df.withColumn("_comparable", F.coalesce(comparable, F.lit(False)))
-    df = df.withColumn(
-        "delta_e",
-        worst_delta(
-            F.when(F.col("_comparable"), F.col("_colors_a")), F.when(F.col("_comparable"), F.col("_colors_b"))
-        ),
+    delta = worst_delta(
+        F.when(F.col("_comparable"), F.col("_colors_a")), F.when(F.col("_comparable"), F.col("_colors_b"))
     )
+    # A generated column: filters on it stay above, else each would carry a copy of all that it is made from.
+    df = df.select("*", F.explode(F.array(delta)).alias("delta_e"))
     de = F.col("delta_e")
     pa, pb = parse_px(a), parse_px(b)
     delta_px = F.when(

@@ -40,11 +40,8 @@ def running(
     in_chunk = in_chunk.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     inner = base.withColumn("_run", agg("_value").over(in_chunk)).drop("_value")
 
-    # Groups that fit one chunk need no carry; at most rows / chunk groups are longer.
-    long_groups = base.where(F.col("_chunk") > 0).select(*by).distinct()
-    totals = (
-        base.join(long_groups, by, "left_semi").groupBy(*by, "_chunk").agg(agg("_value").alias("_total"))
-    )
+    # One row per chunk; only chunks with others before them carry anything, and without such the join falls away.
+    totals = base.groupBy(*by, "_chunk").agg(agg("_value").alias("_total"))
     chunk_order = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
     across = Window.partitionBy(*by).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -58,6 +55,31 @@ def running(
     return joined.withColumn(out, combined).drop("_chunk", "_run", "_carry")
 
 
+def around(df: DataFrame, by: Sequence[str], pos: str, value: Column, before: str, after: str, chunk: int = CHUNK) -> DataFrame:
+    """Add `before`, the greatest value of earlier rows of the group, and `after`, the least of later ones.
+
+    One sort per chunk serves both, and one row per chunk carries both across chunks.
+    """
+    by = list(by)
+    base = df.withColumns({"_chunk": F.floor(F.col(pos) / F.lit(chunk)).cast("bigint"), "_value": value})
+    place = Window.partitionBy(*by, "_chunk").orderBy(pos)
+    inner = base.withColumns(
+        {
+            "_low": F.max("_value").over(place.rowsBetween(Window.unboundedPreceding, -1)),
+            "_high": F.min("_value").over(place.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    )
+    totals = base.groupBy(*by, "_chunk").agg(F.max("_value").alias("_most"), F.min("_value").alias("_least"))
+    across = Window.partitionBy(*by).orderBy("_chunk")
+    carry = totals.select(
+        *by, "_chunk", F.max("_most").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"),
+        F.min("_least").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+    ).where(F.col("_below").isNotNull() | F.col("_above").isNotNull())
+    joined = inner.join(carry, [*by, "_chunk"], "left")
+    found = joined.withColumns({before: F.greatest("_low", "_below"), after: F.least("_high", "_above")})
+    return found.drop("_chunk", "_value", "_low", "_high", "_below", "_above")
+
+
 def occurrence(df: DataFrame, by: Sequence[str], pos: str, out: str, chunk: int = CHUNK) -> DataFrame:
     """Add `out`: how many earlier rows of the group there are, counted from 0."""
     df = running(df, by, pos, F.lit(1).cast("bigint"), out, how="sum", inclusive=False, chunk=chunk)

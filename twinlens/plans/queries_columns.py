@@ -373,10 +373,8 @@ def _lab_sql(r: str, g: str, b: str) -> str:
 
 
 _P = "p_partkey"
-_DELTA_SQL = (
-    "WITH lab AS (SELECT p_partkey, "
-    + _lab_sql(f"({_P} * 7 % 256)", f"({_P} * 11 % 256)", f"({_P} * 13 % 256)") + " AS p, "
-    + _lab_sql(f"({_P} * 17 % 256)", f"({_P} * 5 % 256)", f"({_P} * 3 % 256)") + " AS q FROM part), "
+# From a table `lab` with the Lab structs p and q to `z`, which has the parts of their distance.
+_DELTA_STEPS = (
     "g AS (SELECT *, pow((sqrt(p.a * p.a + p.b * p.b) + sqrt(q.a * q.a + q.b * q.b)) / 2, 7) AS m7 FROM lab), "
     "c AS (SELECT *, p.a * (1.5 - 0.5 * sqrt(m7 / (m7 + pow(25.0, 7)))) AS a1, q.a * (1.5 - 0.5 * sqrt(m7 / (m7 + pow(25.0, 7)))) AS a2 FROM g), "
     "h AS (SELECT *, sqrt(a1 * a1 + p.b * p.b) AS c1, sqrt(a2 * a2 + q.b * q.b) AS c2, "
@@ -391,7 +389,13 @@ _DELTA_SQL = (
     "z AS (SELECT *, (q.l - p.l) / (1 + 0.015 * pow(ml - 50, 2) / sqrt(20 + pow(ml - 50, 2))) AS dl, "
     "(c2 - c1) / (1 + 0.045 * mc) AS dc, 2 * sqrt(c1 * c2) * sin(radians(dh / 2)) / (1 + 0.015 * mc * t) AS dhh, "
     "-2 * sqrt(pow(mc, 7) / (pow(mc, 7) + pow(25.0, 7))) * sin(radians(60 * exp(-pow((mh - 275) / 25, 2)))) AS rt FROM w) "
-    "SELECT p_partkey, round(least(sqrt(greatest(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh, 0)) / 100, 1), 3) AS delta_e FROM z"
+)
+_DELTA = "round(least(sqrt(greatest(dl * dl + dc * dc + dhh * dhh + rt * dc * dhh, 0)) / 100, 1), 3)"
+_DELTA_SQL = (
+    "WITH lab AS (SELECT p_partkey, "
+    + _lab_sql(f"({_P} * 7 % 256)", f"({_P} * 11 % 256)", f"({_P} * 13 % 256)") + " AS p, "
+    + _lab_sql(f"({_P} * 17 % 256)", f"({_P} * 5 % 256)", f"({_P} * 3 % 256)") + f" AS q FROM part), {_DELTA_STEPS} "
+    f"SELECT p_partkey, {_DELTA} AS delta_e FROM z"
 )
 
 
@@ -430,7 +434,38 @@ def css_compare(t: Tables):
     return cssvals.compare_css(rows).select("path", "viewport", "pos", "property", "kind", "delta_px")
 
 
-@query("css_compare_colors", "C24 C25")
+_COLOR_PATTERN = "rgba\\((\\d+), (\\d+), (\\d+), [\\d.]+\\)"
+_CHANNEL = lambda c, i: f"coalesce(TRY_CAST(regexp_extract({c}, '{_COLOR_PATTERN}', {i}) AS DOUBLE), 0)"
+_LESS_COLOR = lambda c: f"regexp_replace({c}, '{_COLOR_PATTERN}', '', 'g')"
+# A shadow of the data holds one colour at most.
+_COLORS_SQL = (
+    _PAIR_SQL.rstrip() + ", lab AS (SELECT path, viewport, pos, property, a AS va, b AS vb, "
+    + _lab_sql(*[_CHANNEL("a", i) for i in (1, 2, 3)]) + " AS p, " + _lab_sql(*[_CHANNEL("b", i) for i in (1, 2, 3)]) + " AS q, "
+    f"a <> b AND regexp_matches(a, '{_COLOR_PATTERN}') AND regexp_matches(b, '{_COLOR_PATTERN}') AND {_LESS_COLOR('a')} = {_LESS_COLOR('b')} AS comparable "
+    f"FROM p WHERE property IN ('color', 'box-shadow')), {_DELTA_STEPS}, r AS (SELECT *, CASE WHEN comparable THEN {_DELTA} END AS delta_e FROM z) "
+    "SELECT path, viewport, pos, property, CASE WHEN va = vb THEN 'equal' WHEN delta_e IS NOT NULL THEN CASE WHEN delta_e <= 0.01 THEN 'equal' ELSE "
+    "'color' END ELSE 'value' END AS kind, delta_e FROM r"
+)
+
+
+# Every property of a pair of styled nodes: `cmp` has what the comparison of values says.
+COMPARED_SQL = (
+    _PAIR_SQL.rstrip() + ", lab AS (SELECT path, viewport, pos, property, a AS va, b AS vb, "
+    f"{_PX_OF('a')} AS apx, CASE WHEN a <> b AND property <> 'font-family' THEN {_DPX} END AS dpx, "
+    + _lab_sql(*[_CHANNEL("a", i) for i in (1, 2, 3)]) + " AS p, " + _lab_sql(*[_CHANNEL("b", i) for i in (1, 2, 3)]) + " AS q, "
+    f"a <> b AND property IN ('color', 'box-shadow') AND regexp_matches(a, '{_COLOR_PATTERN}') AND regexp_matches(b, '{_COLOR_PATTERN}') AND "
+    f"{_LESS_COLOR('a')} = {_LESS_COLOR('b')} AS comparable FROM p), {_DELTA_STEPS}, "
+    f"r AS (SELECT *, CASE WHEN comparable THEN {_DELTA} END AS delta_e FROM z), "
+    "k AS (SELECT *, CASE WHEN va = vb THEN 'equal' WHEN property = 'font-family' THEN CASE WHEN string_split(va, ',')[1] = string_split(vb, ',')[1] "
+    "THEN 'font-fallback' ELSE 'value' END WHEN delta_e IS NOT NULL THEN CASE WHEN delta_e <= 0.01 THEN 'equal' ELSE 'color' END WHEN dpx IS NOT NULL "
+    "THEN CASE WHEN abs(dpx) <= 1 THEN 'equal' ELSE 'length' END ELSE 'value' END AS kind FROM r), "
+    "cmp AS (SELECT k.*, x.key, CASE WHEN delta_e IS NOT NULL THEN delta_e / 0.03 WHEN dpx IS NOT NULL THEN greatest(abs(dpx) / 4, CASE WHEN apx <> 0 "
+    "THEN abs(dpx / apx) / 0.15 ELSE 0 END) END AS magnitude FROM k JOIN styles x ON x.side = 'source' AND x.path = k.path AND x.viewport = k.viewport "
+    "AND x.pos = k.pos AND x.visible JOIN styles y ON y.side = 'target' AND y.path = k.path AND y.viewport = k.viewport AND y.pos = k.pos AND y.visible)"
+)
+
+
+@query("css_compare_colors", "C24 C25", _COLORS_SQL, "styles")
 def css_compare_colors(t: Tables):
     rows = _css_pairs(t).where(F.col("property").isin("color", "box-shadow"))
     return cssvals.compare_css(rows).select("path", "viewport", "pos", "property", "kind", "delta_e")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinlens.operators import align, assets, content, coverage, links, stats, styles
 from twinlens.plans import second_engine as sql
 from twinlens.plans.derive import STYLE_COLUMNS, Tables
-from twinlens.plans.queries_columns import changes_sql
+from twinlens.plans.queries_columns import COMPARED_SQL, changes_sql
 from twinlens.plans.registry import query
 
 _ID = sql.finding_id
@@ -332,7 +332,7 @@ def content_one_sided(t: Tables):
     f"WITH {_BY_POS}, src AS (SELECT path, pos, ra, ka, sa, a, b FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND NOT {_SAME}), "
     + changes_sql("src", "path, sa, a, b")
     + " SELECT CASE WHEN len(changes) > 0 THEN 'content.value-drift' ELSE 'content.drift' END AS category, path, sa AS subject, CASE WHEN "
-    "len(changes) > 0 THEN array_to_string(list_transform(changes, lambda c: regexp_extract(c, '^[a-z]+')), '+') END AS facet, 'Text changed: \"' || "
+    "len(changes) > 0 THEN array_to_string(list_transform(changes, lambda c: regexp_extract(c, '^[a-z]+')), '+') END AS facet, 'Wording moved: \"' || "
     f"{sql.truncate('a', 60)} || '\" -> \"' || {sql.truncate('b', 60)} || '\"' || CASE WHEN len(changes) > 0 THEN ' (' || "
     "array_to_string(changes, '; ') || ')' ELSE '' END AS label FROM chg", "nodes",
 )
@@ -603,7 +603,16 @@ def style_length_drift(t: Tables):
     return found.select("path", "viewport", key.alias("key"), F.col("facet").alias("property"), "severity", "magnitude")
 
 
-@query("style_property_findings", "G12 G13 C23 C25")
+_JSON = lambda c: f"CASE WHEN {c} IS NULL THEN NULL ELSE to_json({c}) END"
+
+
+@query(
+    "style_property_findings", "G12 G13 C23 C25",
+    f"{COMPARED_SQL} SELECT sha1(concat_ws('|', 'css.property-drift', path, viewport, 'main', 'paragraph', 'main|' || key || '#0', property)) AS id, "
+    "CASE WHEN kind = 'font-fallback' OR magnitude < 1 THEN 'info' ELSE 'warning' END AS severity, path, viewport, property AS facet, "
+    f"{_JSON('va')} AS expected_json, {_JSON('vb')} AS actual_json, floor(magnitude * 100 + 0.5) / 100 AS magnitude FROM cmp WHERE kind <> 'equal'",
+    "styles",
+)
 def style_property_findings(t: Tables):
     found = styles.property_findings(styles.property_comparisons(_styled(t)))
     return found.select("id", "severity", "path", "viewport", "facet", "expected_json", "actual_json", "magnitude")
@@ -651,36 +660,40 @@ def style_visibility(t: Tables):
     return found.select("category", "path", key.alias("key"), "viewport", agrees.alias("agrees"))
 
 
+_STATS_SQL = (
+    f"{COMPARED_SQL}, {_ST}, {_LAY}, nn AS (SELECT viewport, count(*) FILTER (sv AND dv) AS compared_nodes, count(*) FILTER (sv <> dv) AS "
+    "visibility_drifts FROM sp GROUP BY ROLLUP (viewport)), pp AS (SELECT viewport, count(*) AS compared_properties, count(*) FILTER (kind <> 'equal') "
+    "AS property_drifts FROM cmp GROUP BY ROLLUP (viewport)), ll AS (SELECT viewport, count(*) AS layout_drifts FROM sq GROUP BY ROLLUP (viewport)), "
+    "stats AS (SELECT nn.viewport, compared_nodes, coalesce(compared_properties, 0) AS compared_properties, coalesce(property_drifts, 0) AS "
+    f"property_drifts, coalesce(layout_drifts, 0) AS layout_drifts, visibility_drifts, {sql.pct('(compared_properties - property_drifts)', 'compared_properties')} "
+    "AS style_parity FROM nn LEFT JOIN pp ON pp.viewport IS NOT DISTINCT FROM nn.viewport LEFT JOIN ll ON ll.viewport IS NOT DISTINCT FROM nn.viewport) "
+)
+
+
 @query(
     "style_stats", "J5",
-    f"WITH {_ST}, {_LAY}, n AS (SELECT viewport, count(*) FILTER (sv AND dv) AS compared_nodes, count(*) FILTER (sv AND dv) * {len(STYLE_COLUMNS)} AS "
-    "compared_properties, count(*) FILTER (sv <> dv) AS visibility_drifts FROM sp GROUP BY ROLLUP (viewport)), l AS (SELECT viewport, count(*) AS "
-    "layout_drifts FROM sq GROUP BY ROLLUP (viewport)) SELECT n.viewport, compared_nodes, compared_properties, coalesce(layout_drifts, 0) AS "
-    "layout_drifts, visibility_drifts FROM n LEFT JOIN l ON l.viewport IS NOT DISTINCT FROM n.viewport", "styles",
+    _STATS_SQL + "SELECT * FROM stats", "styles",
 )
 def style_stats(t: Tables):
     styled = _styled(t)
-    per = styles.viewport_stats(styled, styles.property_comparisons(styled))
-    return stats.css_stats(per).drop("property_drifts", "style_parity")
+    return stats.css_stats(styles.viewport_stats(styled, styles.property_comparisons(styled)))
 
 
-@query("style_parity", "J5")
+@query("style_parity", "J5", _STATS_SQL + "SELECT viewport, style_parity FROM stats", "styles")
 def style_parity(t: Tables):
     styled = _styled(t)
-    return stats.css_stats(styles.viewport_stats(styled, styles.property_comparisons(styled)))
+    return stats.css_stats(styles.viewport_stats(styled, styles.property_comparisons(styled))).select("viewport", "style_parity")
 
 
 @query(
     "style_top_properties", "J6",
-    f"WITH {_ST}, {_LEN} SELECT property, count(*) AS count FROM sm GROUP BY 1 ORDER BY 2 DESC, 1", "styles",
+    f"{COMPARED_SQL} SELECT property, count(*) AS count FROM cmp WHERE kind <> 'equal' GROUP BY 1 ORDER BY 2 DESC, 1", "styles",
 )
 def style_top_properties(t: Tables):
-    rows = styles.property_comparisons(_styled(t)).where(~F.col("equal"))
-    lengths = rows.where(F.col("property").isin("font-size", "margin-top"))
-    return stats.top_properties(lengths)
+    return stats.top_properties(styles.property_comparisons(_styled(t)).where(~F.col("equal")))
 
 
-@query("run_compare", "J10 K18 I4 I5 I6 L7")
+@query("run_compare", "J10")
 def run_compare(t: Tables):
     """The whole comparison of the derived sides: every finding family, suppressed and tagged."""
     from twinlens.plans.compare import compare_tables, from_derived
