@@ -9,6 +9,7 @@ from twinlens.plans import second_engine as sql
 from twinlens.plans.derive import STYLE_COLUMNS, Tables
 from twinlens.plans.queries_columns import COMPARED_SQL, changes_sql
 from twinlens.plans.registry import query
+from twinlens.session import cut_lineage
 
 _ID = sql.finding_id
 _EMPTY = "''"
@@ -271,9 +272,11 @@ def _sides(t: Tables):
 
 
 def _content_pairs(t: Tables):
-    s, d = _sides(t)
+    """One alignment feeds all that reads pairs of nodes; it is stored once per folder of data."""
+    if "content_pairs" not in t.__dict__:
+        t.__dict__["content_pairs"] = cut_lineage(content.content_pairs(*_sides(t)))
     host = lambda h: F.concat(F.lit(h), "path")
-    pairs = content.content_pairs(s, d)
+    pairs = t.__dict__["content_pairs"]
     return pairs.withColumns({"source_url": host("https://legacy.example"), "target_url": host("https://new.example")})
 
 
