@@ -111,9 +111,14 @@ def _sides(runs: DataFrame, side: str) -> DataFrame:
     )
 
 
+def _one_run(runs: DataFrame) -> DataFrame:
+    single = F.when(F.count(F.lit(1)) <= 1, F.lit(True)).otherwise(F.raise_error("one run is compared with one run").cast("boolean"))
+    return runs.agg(*[F.any_value(c).alias(c) for c in runs.columns], single.alias("_single")).where("_single").drop("_single")
+
+
 def comparability_warnings(baseline_run: DataFrame, current_run: DataFrame) -> DataFrame:
-    """One row per reason; both inputs hold one run."""
-    both = _sides(baseline_run, "b").crossJoin(_sides(current_run, "c"))  # one row each
+    """One row per reason; an input of more than one run is an error."""
+    both = _one_run(_sides(baseline_run, "b")).crossJoin(_one_run(_sides(current_run, "c")))  # aggregates of one row
     return both.select(F.explode(comparability_checks()).alias("warning"))
 
 

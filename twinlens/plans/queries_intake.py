@@ -52,11 +52,11 @@ def _index_view(snapshots):
 
 @query("store_json_scan", "A1", _INDEX_SQL, "page_rows")
 def store_json_scan(t: Tables):
-    """Written as gzipped JSON documents and read back with the fixed schema."""
+    """Written as gzipped JSON, a file per page, and read back by the scan."""
     out = scratch(t, "snapshots-json")
-    _snapshots(t).withColumn("dir", F.col("side")).write.partitionBy("dir").option("compression", "gzip").json(out)
-    read = t.spark.read.schema(store.SNAPSHOT_DDL).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(out)
-    return _index_view(read)
+    files = _snapshots(t).withColumn("dir", F.col("side")).write.partitionBy("dir").option("compression", "gzip")
+    files.option("maxRecordsPerFile", 1).json(out)
+    return _index_view(store.scan_snapshot_json(t.spark, out))
 
 
 @query("store_parquet_round_trip", "A3", _INDEX_SQL, "page_rows")
@@ -71,9 +71,8 @@ def store_parquet_round_trip(t: Tables):
     "SELECT p.side, p.path, p.status FROM page_rows p WHERE p.side = 'target' AND p.path = (SELECT min(key) FROM canon)", "page_rows",
 )
 def store_lookup(t: Tables):
-    wanted = t.canon.agg(F.min("key")).first()[0]
-    snaps = _snapshots(t)
-    return store.lookup(snaps, "target", wanted).select("side", "path", "status")
+    wanted = t.canon.agg(F.min("key")).scalar()
+    return store.lookup(_snapshots(t), "target", wanted).select("side", "path", "status")
 
 
 @query("store_paths", "A4", "SELECT path FROM page_rows WHERE side = 'source' ORDER BY path", "page_rows")
@@ -144,30 +143,34 @@ def store_slugs(t: Tables):
 
 @query(
     "store_report_sinks", "A14 A15",
-    "SELECT 'findings' AS part, count(*) AS n FROM fid UNION ALL SELECT 'css', count(*) FROM fid WHERE category LIKE 'css.%' UNION ALL SELECT 'links', "
-    "count(*) FROM fid WHERE category LIKE 'link.%' UNION ALL SELECT 'coverage', count(*) FROM fid WHERE category LIKE 'page.%'", "fid",
+    " UNION ALL ".join(
+        f"SELECT '{part}' AS part, id, category, severity, path FROM fid WHERE category LIKE '{like}'"
+        for part, like in (("findings", "%"), ("css", "css.%"), ("links", "link.%"), ("coverage", "page.%"))
+    ), "fid",
 )
 def store_report_sinks(t: Tables):
     out = scratch(t, "report")
-    found = t.findings().drop("run_id", "event_id")
+    found = t.findings().drop("event_id")
     store.write_report(found, finding_counts(found), out)
     spark, schema = t.spark, found.schema
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-    parts = one(spark.read.parquet(f"{out}/findings"), "findings")
+    one = lambda df, name: df.select(F.lit(name).alias("part"), "id", "category", "severity", "path")
+    parts = one(store.scan_findings(spark, f"{out}/findings", "current"), "findings")
     for name in ("css", "links", "coverage"):
         parts = parts.unionByName(one(spark.read.schema(schema).json(f"{out}/{name}"), name))
     return parts
 
 
 @query(
-    "store_diff_sink", "A16", "SELECT 'current' AS run_id, count(*) AS n FROM (SELECT DISTINCT id FROM (SELECT id FROM fid UNION ALL SELECT id FROM "
-    "fid_base) x) y", "fid fid_base",
+    "store_diff_sink", "A16",
+    "SELECT 'current' AS run_id, coalesce(c.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'fixed' ELSE 'both' END AS side "
+    "FROM (SELECT DISTINCT id FROM fid) c FULL JOIN (SELECT DISTINCT id FROM fid_base) b ON b.id = c.id", "fid fid_base",
 )
 def store_diff_sink(t: Tables):
     out = scratch(t, "diff")
     store.write_diff(diff_runs(t.findings("baseline"), t.findings("current")), out, "current")
     read = t.spark.read.schema("id string, bucket string, run_id string").json(out)
-    return read.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    side = F.when(F.col("bucket").isin("added", "fixed"), F.col("bucket")).otherwise(F.lit("both"))
+    return read.select("run_id", "id", side.alias("side"))
 
 
 # --- site documents ---------------------------------------------------------------------
