@@ -117,3 +117,16 @@ def test_no_training_and_no_rows(spark):
     assert score_pages(table(spark, [])).collect() == []
     words = spark.createDataFrame([], "token long, n long")
     assert learn_tree(spark.createDataFrame([], "text string"), words) == []
+
+
+def test_rare_contexts_keep_their_states_in_a_large_text(spark):
+    # In 60,000 tokens a share of 1e-4 asks for 6 occurrences; this phrase has three.
+    rare = " ".join(f"zq{i}" for i in range(8))
+    rows = [(f"/p{i}", prose(i, 600, 3000), True) for i in range(100)] + [(f"/r{i}", prose(900 + i, 20, 3000) + " " + rare, True) for i in range(3)]
+    rows.append(("/held-out", rare, False))
+    tree = Tree([t for _, t, x in rows if x], context_share=0, next_share=0)
+    assert {("zq1",), ("zq1", "zq2"), ("zq1", "zq2", "zq3")} & set(tree.states)
+    got = {r["path"]: r for r in score_pages(table(spark, rows), block_bytes=100_000).collect()}
+    for p, t, _ in rows:
+        assert got[p]["score"] == pytest.approx(tree.score(t), rel=1e-9)
+    assert got["/held-out"]["score"] > got["/held-out"]["base_score"] + 8

@@ -1,31 +1,40 @@
 """Language-model scores of captured pages from a probabilistic suffix tree.
 
 Symbols are words, and one end after each page. The root predicts from smoothed word counts over all
-training pages. A longer context is a state of the tree if it is frequent and its next-symbol
+training pages. A longer context is a state of the tree if it repeats and its next-symbol
 distribution diverges from that of its longest shorter state; a page is scored by the longest state
 that ends at each of its symbols.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.llm.exact_copies import golomb_decode, golomb_encode
 from twinlens.llm.shared import blocks_for, keep, schema
 from twinlens.llm.words import CHUNK, join_hash, lookup, powers, slices, spaced, words_of
 
-CONTEXT_SHARE = 1e-4
-NEXT_SHARE = 2e-6
+LEAST = 2.0
 DEPTH = 3
 DISCOUNT = 0.5
 GAIN = 1.0
 BLOCK_BYTES = 16 << 20
+PRINT_BITS = 44
+HELD_KEYS = 1 << 22
+OWNER_KEYS = 1 << 21
+MOST_BITS = 27
+COUNT, HIGHER, LEFT = 0, 1, 2
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
+GRAM = schema(("d", "byte"), ("key", "long"), ("context", "long"), ("shorter", "long"), ("n", "long"))
+MARKS = schema(("owner", "long"), ("bits", "binary"))
 
 
 def page_tokens(column: pa.Array, tables: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -61,98 +70,187 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], ["token", "n"])
 
 
-def _count_next(shipped, depth: int):
+def grams(tokens: np.ndarray, begin: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to `depth`: the length, and for each token that has so long a context that context, context and token together, and the same without the oldest token."""
+    shorter = tokens
+    for d, context in enumerate(contexts(tokens, begin, depth), 1):
+        key, at = join_hash(context, tokens), np.flatnonzero(context)
+        yield d, context[at], key[at], shorter[at]
+        shorter = key
+
+
+def _own_bits(bits: int, owner_bits: int):
+    def own_bits(owner: int, keys: np.ndarray) -> pd.DataFrame:
+        marks = np.zeros(1 << (bits - owner_bits), np.uint8)
+        marks[(keys >> np.uint64(64 - bits)).astype(np.int64) - (owner << (bits - owner_bits))] = 1
+        return pd.DataFrame({"owner": [owner], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    return own_bits
+
+
+def _gathered(rows: DataFrame, bits: int, owner_bits: int):
+    """A broadcast of the bit map that owners have marked in parts, and of its number of bits."""
+    width = 1 << (bits - owner_bits - 3)
+    whole = np.zeros(width << owner_bits, np.uint8)
+    for owner, part in rows.collect():
+        whole[owner * width : (owner + 1) * width] = np.frombuffer(part, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast((whole, bits))
+
+
+def _marked(keys: np.ndarray, shipped) -> np.ndarray:
+    whole, bits = shipped.value
+    place = keys >> np.uint64(64 - bits)
+    return ((whole[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _map_bits(items: int) -> int:
+    """Bits of a map as a power of two: about eight an item, and 16 MB at most."""
+    return min(MOST_BITS, max(16, (8 * items).bit_length()))
+
+
+def _send_prints(depth: int, owner_bits: int):
+    span = 1 << (PRINT_BITS - owner_bits)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        prints = np.sort(np.concatenate(held))
+        # Two of a kind tell that it repeats.
+        prints = prints[np.concatenate([[True, True], prints[2:] != prints[:-2]])[: len(prints)]]
+        owner = (prints >> np.uint64(PRINT_BITS - owner_bits)).astype(np.int64)
+        edges, rows = np.searchsorted(owner, np.arange((1 << owner_bits) + 1)), []
+        for o in np.unique(owner):
+            own = prints[edges[o] : edges[o + 1]]
+            code, k = golomb_encode(own, int(o) * span, span)
+            rows.append((int(o), len(own), k, code))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["owner", "n", "k", "code"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, held = powers(CHUNK + 1), []
+        for batch in batches:
+            for part in slices(batch):
+                held += [key >> np.uint64(64 - PRINT_BITS) for _, _, key, _ in grams(*page_tokens(part.column("text"), tables), depth)]
+                if sum(map(len, held)) >= HELD_KEYS:
+                    yield packed(held)
+                    held = []
+        if sum(map(len, held)):
+            yield packed(held)
+
+    return send
+
+
+def _repeated(bits: int, owner_bits: int):
+    own_bits = _own_bits(bits, owner_bits)
+
+    def repeated(sent: pd.DataFrame) -> pd.DataFrame:
+        owner = int(sent["owner"].iat[0])
+        low = owner << (PRINT_BITS - owner_bits)
+        parts = [golomb_decode(c, n, k, low) for c, n, k in zip(sent["code"], sent["n"], sent["k"], strict=True)]
+        values, times = np.unique(np.concatenate(parts), return_counts=True)
+        return own_bits(owner, values[times > 1] << np.uint64(64 - PRINT_BITS))
+
+    return repeated
+
+
+def _count_grams(shipped, depth: int):
+    def counted(d: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, context, shorter = (np.concatenate(c) for c in zip(*held, strict=True))
+        values, first, times = np.unique(key, return_index=True, return_counts=True)
+        columns = (pa.array(c.view(np.int64)) for c in (values, context[first], shorter[first]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(values), d, np.int8)), *columns, pa.array(times)], GRAM.names)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = powers(CHUNK + 1)
-        known, frequent = shipped.value
+        tables, held = powers(CHUNK + 1), {d: [] for d in range(1, depth + 1)}
         for batch in batches:
             for part in slices(batch):
-                tokens, begin = page_tokens(part.column("text"), tables)
-                context, there = lookup(contexts(tokens, begin, depth)[-1], known)
-                at = np.flatnonzero(there)
-                follower, common = lookup(tokens[at], frequent)
-                values, times = np.unique((context[at[common]] << 32) | follower[common], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times)], ["key", "n"])
+                for d, context, key, shorter in grams(*page_tokens(part.column("text"), tables), depth):
+                    at = np.flatnonzero(_marked(key, shipped))
+                    held[d].append((key[at], context[at], shorter[at]))
+                    if sum(len(h[0]) for h in held[d]) >= HELD_KEYS:
+                        yield counted(d, held[d])
+                        held[d] = []
+        yield from (counted(d, h) for d, h in held.items() if h)
 
     return count
 
 
+def count_repeated(training: DataFrame, total: int, depth: int, least: float) -> DataFrame:
+    """`d, key, context, shorter, n`: every context of 1 to `depth` tokens with a next token that occurs `least` times (two at least).
+
+    Tasks first send short fingerprints of all of them, Golomb-coded, to owners of ranges, which mark the repeated ones
+    in a bit map of at most 16 MB. Only what stands behind a marked bit is counted, exactly. The map spares work, never a result:
+    where marks crowd, more single ones are counted and dropped after that.
+    """
+    bits, owner_bits = _map_bits(total * depth), min(MOST_BITS - 3, max(3, (total * depth // OWNER_KEYS).bit_length()))
+    sent = training.mapInArrow(_send_prints(depth, owner_bits), schema(("owner", "long"), ("n", "long"), ("k", "long"), ("code", "binary")))
+    shipped = _gathered(sent.groupBy("owner").applyInPandas(_repeated(bits, owner_bits), MARKS), bits, owner_bits)
+    counted = training.mapInArrow(_count_grams(shipped, depth), GRAM).groupBy("key").agg(F.min("d").alias("d"), F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n"))
+    return counted.filter(F.col("n") >= least)
+
+
+def mark_keys(keys: DataFrame):
+    """A broadcast bit map of `key`; a key that is not there may share a bit with one that is."""
+    items = keys.count()
+    bits, owner_bits = _map_bits(items), 6
+    own_bits = _own_bits(bits, owner_bits)
+
+    def mark(own: pd.DataFrame) -> pd.DataFrame:
+        return own_bits(int(own["owner"].iat[0]), own["place"].to_numpy(np.int64).view(np.uint64) << np.uint64(64 - bits))
+
+    placed = keys.select(F.shiftrightunsigned("key", 64 - owner_bits).alias("owner"), F.shiftrightunsigned("key", 64 - bits).alias("place")).distinct()
+    return _gathered(placed.groupBy("owner").applyInPandas(mark, MARKS), bits, owner_bits)
+
+
 def learn_tree(
-    training: DataFrame, words: DataFrame, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE, gain: float = GAIN, discount: float = DISCOUNT
+    training: DataFrame, words: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0, gain: float = GAIN, discount: float = DISCOUNT
 ) -> list[dict]:
-    """States of the tree, one dict of arrays per context length.
+    """The tree, one dict of two stored tables per context length: `states` (`key, left`) and `symbols` (`key, higher`).
 
     `training` holds `text`; `words` holds `token, n`, its token counts. A context is a candidate if
-    it makes up `context_share` of all training tokens, and a next symbol gets a probability of its
-    own in it if both together make up `next_share`. These are shares, not numbers: the counts cover
-    all pages at every size, and there are never more than 1 / context_share contexts and
-    1 / next_share symbols of one length. That bounds what reaches the driver and is broadcast. All
-    other symbols share what is left, in proportion to the shorter state.
+    it occurs twice, and a next symbol gets a probability of its own in it if both together occur
+    twice. All other symbols share what is `left`, in proportion to the shorter state. So the tree grows with the text.
+    `context_share` and `next_share` ask for a share of all training tokens besides.
 
     A candidate stays if the log-likelihood that it gains over its longest shorter state is `gain`
     times half the logarithm of the number of tokens, per symbol of its own. Longer contexts are
     sought below every candidate, retained or not.
     """
-    spark = training.sparkSession
     size = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = size["n"] or 0, size["v"]
     if not total:
         return []
-    frequent = words.filter(F.col("n") >= max(2.0, next_share * total)).toPandas()
-    hashes = frequent["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], frequent["n"].to_numpy(np.int64)[order]
-    root = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-    pages = int(counts[hashes == END].sum())
-    least = max(2.0, context_share * total)
-    fit = (counts >= least) & (hashes != END)
-    # Every token but the end stands before another one, so a context's count is its own.
-    names, times, chain = hashes[fit], counts[fit].astype(float), hashes[fit][:, None]
-    if pages >= least:
-        names, times, chain = np.append(names, START), np.append(times, pages), np.append(chain, [[START]], axis=0)
+    least, low = max(LEAST, context_share * total), max(LEAST, next_share * total)
+    counted = keep(count_repeated(training, total, depth, low))
+    end, start = (F.lit(int(x.view(np.int64))) for x in (END, START))
+    # What a pair's shorter pair says of it, and how often a context occurs: at first those are words.
+    chance = (F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))
+    before = words.filter(F.col("n") >= low).select(F.col("token").alias("key"), "n", chance.alias("chance"))
+    # Every token but the end stands before another one, so a context's count is its own. There is a start for each end.
+    times = before.withColumn("key", F.when(F.col("key") == end, start).otherwise(F.col("key"))).select(F.col("key").alias("context"), F.col("n").alias("times"))
     tree: list[dict] = []
     for d in range(1, depth + 1):
-        if not len(names):
-            break
-        order = np.argsort(names)
-        names, times, chain = names[order], times[order], chain[order]
-        shipped = spark.sparkContext.broadcast((names, hashes))
-        pairs = training.mapInArrow(_count_next(shipped, d), schema(("key", "long"), ("n", "long"))).groupBy("key").agg(F.sum("n").alias("n"))
-        found = pairs.filter(F.col("n") >= max(2.0, next_share * total)).toPandas()
-        key, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        context, follower = key >> 32, key & ((1 << 32) - 1)
-        shorter = _chance(tree, chain[context][:, 1:], hashes[follower], root[follower])
-        higher = (n - discount) / times[context]
-        left = 1.0 - np.bincount(context, higher, len(names))
-        chance = higher + left[context] * shorter
-        rest, rest_shorter = 1.0 - np.bincount(context, chance, len(names)), 1.0 - np.bincount(context, shorter, len(names))
-        gained = np.bincount(context, n * np.log(chance / shorter), len(names))
-        others = times - np.bincount(context, n, len(names))
-        gained += np.where(others > 0, others * np.log(np.maximum(rest, 1e-12) / np.maximum(rest_shorter, 1e-12)), 0.0)
-        stays = (gained > gain * 0.5 * np.log(total) * np.bincount(context, minlength=len(names))) & (np.bincount(context, minlength=len(names)) > 0)
-        entry = stays[context]
-        symbols = join_hash(names[context[entry]], hashes[follower[entry]])
-        by = np.argsort(symbols)
-        tree.append({"states": names[stays], "left": left[stays], "symbols": symbols[by], "higher": higher[entry][by]})
-        # Frequent continuations, the end aside, are the candidates one token longer.
-        deeper = (n >= least) & (hashes[follower] != END)
-        chain, times = np.concatenate([chain[context[deeper]], hashes[follower[deeper]][:, None]], axis=1), n[deeper].astype(float)
-        names = join_hash(names[context[deeper]], hashes[follower[deeper]])
-        shipped.unpersist()
+        pairs = counted.filter(F.col("d") == d).select("key", "context", "shorter", "n")
+        own = pairs.groupBy("context").agg(F.sum(F.col("n") - discount).alias("own")).join(times.filter(F.col("times") >= least), "context")
+        own = own.select("context", "times", (1.0 - F.col("own") / F.col("times")).alias("left"))
+        shorter = before.select(F.col("key").alias("shorter"), F.col("chance").alias("short"))
+        # Joined by context last, so that what a context's rows share lies together and is stored small.
+        pairs = keep(pairs.join(shorter, "shorter").join(own, "context").select("key", "context", "n", "times", "left", "short"))
+        higher = (F.col("n") - discount) / F.col("times")
+        pairs = pairs.withColumn("higher", higher).withColumn("chance", F.col("higher") + F.col("left") * F.col("short"))
+        sums = pairs.groupBy("context").agg(
+            F.min("times").alias("times"), F.min("left").alias("left"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("symbols"), F.sum("chance").alias("chance"),
+            F.sum("short").alias("short"), F.sum(F.col("n") * F.log(F.col("chance") / F.col("short"))).alias("gained"),
+        )
+        others, floor = F.col("times") - F.col("n"), F.lit(1e-12)
+        rest = others * F.log(F.greatest(1.0 - F.col("chance"), floor) / F.greatest(1.0 - F.col("short"), floor))
+        gained = F.col("gained") + F.when(others > 0, rest).otherwise(0.0)
+        states = keep(sums.filter(gained > gain * 0.5 * math.log(total) * F.col("symbols")).select(F.col("context").alias("key"), "left"))
+        stays = states.select(F.col("key").alias("context"), F.lit(True).alias("stays"))
+        judged = keep(pairs.join(stays, "context", "left").select("key", "n", "higher", F.when(F.col("stays"), F.col("chance")).otherwise(F.col("short")).alias("chance"), "stays"))
+        tree.append({"states": states, "symbols": judged.filter("stays").select("key", "higher")})
+        before = judged.select("key", "n", "chance")
+        times = before.select(F.col("key").alias("context"), F.col("n").alias("times"))
     return tree
 
 
-def _chance(tree: list[dict], chain: np.ndarray, symbols: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """The chance of each symbol in the longest state that ends the context in its row of `chain`."""
-    chance = root
-    for d, level in enumerate(tree[: chain.shape[1]], 1):
-        context = chain[:, -d]
-        for step in range(d - 1, 0, -1):
-            context = join_hash(context, chain[:, -step])
-        chance = _extend(level, context, symbols, chance)
-    return chance
-
-
 def _extend(level: dict, context: np.ndarray, symbols: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """The chances one context length on: unchanged where the longer context is no state."""
     place, there = lookup(context, level["states"])
@@ -166,20 +264,26 @@ def _extend(level: dict, context: np.ndarray, symbols: np.ndarray, chance: np.nd
     return chance
 
 
-def _wanted(block: pa.Table) -> pa.Table:
-    tables, found = powers(CHUNK + 1), []
-    for part in slices(block):
-        found.append(np.unique(page_tokens(part.column("text"), tables)[0]))
-    tokens = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
-    return pa.table({"block": pa.array(np.full(len(tokens), block.column("block")[0].as_py(), np.int64)), "token": pa.array(tokens.view(np.int64))})
+def _wanted(shipped, depth: int):
+    def wanted(block: pa.Table) -> pa.Table:
+        tables, found = powers(CHUNK + 1), [np.array([START])]
+        for part in slices(block):
+            tokens, begin = page_tokens(part.column("text"), tables)
+            found.append(np.unique(tokens))
+            found += [np.unique(key[_marked(key, shipped)]) for _, _, key, _ in grams(tokens, begin, depth)]
+        keys = np.unique(np.concatenate(found))
+        return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64))})
+
+    return wanted
 
 
-def _score(shipped, total: int, distinct: int, kept: list[str]):
+def _score(total: int, distinct: int, depth: int, kept: list[str]):
     def score(pages: pa.Table, known: pa.Table) -> pa.Table:
-        tables, tree, out = powers(CHUNK + 1), shipped.value, []
-        names = known.column("token").to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        names, counts = names[order], known.column("n").to_numpy()[order]
+        tables, out = powers(CHUNK + 1), []
+        keys, kind, values = known.column("key").to_numpy().view(np.uint64), known.column("kind").to_numpy(), known.column("value").to_numpy()
+        order = np.argsort(keys)
+        (names, counts), (symbols, higher), (states, left) = ((keys[at], values[at]) for at in (order[kind[order] == k] for k in (COUNT, HIGHER, LEFT)))
+        level = {"states": states, "left": left, "symbols": symbols, "higher": higher}
         for part in slices(pages):
             tokens, begin = page_tokens(part.column("text"), tables)
             place, there = lookup(tokens, names)
@@ -187,7 +291,7 @@ def _score(shipped, total: int, distinct: int, kept: list[str]):
             chance = (count + 0.5) / (total + 0.5 * (distinct + 1))
             base = np.add.reduceat(np.log10(chance), begin[:-1])
             n_known = np.add.reduceat(there.astype(np.int64), begin[:-1])
-            for level, context in zip(tree, contexts(tokens, begin, max(1, len(tree))), strict=False):
+            for context in contexts(tokens, begin, depth):
                 chance = _extend(level, context, tokens, chance)
             score = np.add.reduceat(np.log10(chance), begin[:-1])
             out.append(pa.table(
@@ -199,7 +303,7 @@ def _score(shipped, total: int, distinct: int, kept: list[str]):
     return score
 
 
-def score_pages(pages: DataFrame, block_bytes: int = BLOCK_BYTES, **learning) -> DataFrame:
+def score_pages(pages: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH, **learning) -> DataFrame:
     """The log10 probability of every captured page, learnt from the pages whose `training` is true.
 
     `pages` holds `path`, `text` and the boolean `training`; `learning` goes to `learn_tree`. Words
@@ -208,7 +312,8 @@ def score_pages(pages: DataFrame, block_bytes: int = BLOCK_BYTES, **learning) ->
     only: a token of count c has (c + 0.5) / (N + 0.5 (V + 1))) and `score` (the tree).
 
     Counts cover all training pages. A block of about `block_bytes` of text asks once for the count of each distinct
-    word, and gets the answers that exist; words are compared by 64-bit hash.
+    word and for the states and next symbols of its own text, and gets the answers that exist; words and contexts are
+    compared by 64-bit hash.
 
     A null text counts as empty: one token, the end. A null `training` is false. Repeated or null paths return a row
     each. Without training pages every known chance is that of an empty root. An empty table returns no rows.
@@ -218,12 +323,19 @@ def score_pages(pages: DataFrame, block_bytes: int = BLOCK_BYTES, **learning) ->
     training = pages.filter("training").select("text")
     words = keep(training.mapInArrow(_count_words, schema(("token", "long"), ("n", "long"))).groupBy("token").agg(F.sum("n").alias("n")))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    shipped = spark.sparkContext.broadcast(learn_tree(training, words, **learning))
+    tree = learn_tree(training, words, depth, **learning)
+    none = spark.createDataFrame([], schema(("key", "long"), ("value", "double")))
+    higher, left = none, none
+    for level in tree:
+        higher, left = higher.unionByName(level["symbols"].withColumnRenamed("higher", "value")), left.unionByName(level["states"].withColumnRenamed("left", "value"))
+    shipped = mark_keys(higher.select("key").unionByName(left.select("key")))
+    counts = words.select(F.col("token").alias("key"), F.col("n").cast("double").alias("value"))
+    answers = [df.select("key", F.lit(kind).cast("byte").alias("kind"), "value") for kind, df in ((COUNT, counts), (HIGHER, higher), (LEFT, left))]
     volume = pages.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     block = F.pmod(F.xxhash64("path", "text"), F.lit(blocks_for(volume, block_bytes)))
     dealt = pages.withColumn("block", block)
-    wanted = dealt.groupBy("block").applyInArrow(_wanted, schema(("block", "long"), ("token", "long")))
-    known = wanted.join(words, "token").select("block", "token", "n")
+    wanted = dealt.groupBy("block").applyInArrow(_wanted(shipped, depth), schema(("block", "long"), ("key", "long")))
+    known = wanted.join(answers[0].unionByName(answers[1]).unionByName(answers[2]), "key").select("block", "key", "kind", "value")
     kind = pages.schema["path"].dataType
     out = schema(("path", kind), ("training", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(shipped, int(size["n"]), int(size["v"]), ["path", "training"]), out)
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score(int(size["n"]), int(size["v"]), depth, ["path", "training"]), out)
