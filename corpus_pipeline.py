@@ -6,7 +6,7 @@ columns of `documents`; the last returns each remaining document's piece ids.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlens.llm.decontaminate import decontaminate
@@ -17,13 +17,20 @@ from twinlens.llm.pieces import encode_pages
 from twinlens.llm.shared import keep
 
 
+def _digest() -> Column:
+    """128 bits of the text's SHA-256; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+
 def _pages(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("path"), "text")
+    """Pages whose path is a document's id and digest: rows of one id, or of none, are told apart by their texts."""
+    return docs.select(F.struct("doc_id", _digest().alias("digest")).alias("path"), "text")
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the documents in `dropped` (`path`); a null id is an id like any other."""
-    return docs.join(dropped.select(F.col("path").alias("dropped_id")), F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    """`docs` without the rows whose id and text are in `dropped` (`path` as in `_pages`); a null id is an id like any other."""
+    gone = dropped.select(F.col("path.doc_id").alias("dropped_id"), F.col("path.digest").alias("dropped_digest"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (_digest() == F.col("dropped_digest")), "left_anti")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +41,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with identical text keep the one with the greatest id."""
+    """Of documents with identical text keep the one with the greatest id, one row of it."""
     copies = keep(exact_copies(_pages(docs)))
     left = _without(docs, copies.filter(~F.col("kept")))
     repeated = copies.filter("kept").groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    return left if repeated.isEmpty() else left.withColumn("digest", _digest()).dropDuplicates(["doc_id", "digest"]).drop("digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the least id."""
+    """Of each group of near copies keep the document with the least id; of those the one with the least digest."""
     return _without(docs, near_copies(_pages(docs)).filter(~F.col("kept")))
 
 
@@ -57,7 +64,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
-        encoded = encode_pages(_pages(docs), file.read())
+        encoded = encode_pages(docs.select(F.col("doc_id").alias("path"), "text"), file.read())
     return encoded.select(F.col("path").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

@@ -48,6 +48,25 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark, tmp_path):
+    passage = prose(77, 40, 5000)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    whole, near = prose(600, 80, 5000), prose(601, 200, 5000)
+    dropped = {"language": "1234 !!", "exact copies": whole, "near copies": changed(near, 1, 2), "decontamination": "intro text " + passage}
+    kept = {"exact copies": (900, whole), "near copies": (-5, near)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for shared in (None, 4):  # an id whose text the language model may learn from
+            # Of near copies the least id stays, and a null id is below every other.
+            other = kept.get(name) if name != "near copies" or shared else (None, near)
+            rows = [(shared, "a clean text with the words of its own " + prose(602, 60, 5000)), (shared, dropped[name]), *([other] if other else [])]
+            docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+            got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()]
+            if name == "near copies" and shared is None:
+                assert rows[0] in got and len(got) == 2  # one of two null ids
+            else:
+                assert sorted(got, key=repr) == sorted([r for r in rows if r[1] != dropped[name] or r[0] == 900], key=repr), (name, shared)
+
+
 def test_every_numbered_query_is_there():
     assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
     assert "pipeline" in QUERIES and set(ORACLE_SQL) <= set(QUERIES)
