@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from twinlens.llm.decontaminate import decontaminate
 from twinlens.llm.exact_copies import exact_copies
+from twinlens.llm.infill import fill_in_middle, restore_texts
 from twinlens.llm.langid import identify_languages, learn_languages
 from twinlens.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_A_WORD, SPELLINGS, known_licenses, page_licenses
 from twinlens.llm.near_copies import near_copies
@@ -110,6 +111,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("path", "doc_id")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(as_pages(table(spark, sf_dir, "documents")), keys=["path"], seed=1)
+    return restore_texts(made).select(
+        F.col("path").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_tree": op2_suffix_tree,
@@ -121,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_exact_copies": op9_exact_copies,
     "op10_licenses": op10_licenses,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -181,6 +191,29 @@ SELECT doc.doc_id, doc.digest, license_id, coalesce(block_licenses, '') AS block
 FROM doc LEFT JOIN digest USING (digest) LEFT JOIN found ON doc.doc_id = found.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": _OP5, "op7_tool_calls": _OP7, "op9_exact_copies": _OP9, "op10_licenses": _OP10}
+_OP13 = """
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+        sha256('1' || coalesce(':' || doc_id, '')) AS h
+    FROM documents
+),
+number AS (
+    SELECT *, CAST(len(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(t) + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(t) + 1) AS two,
+        CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS three, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS four
+    FROM doc
+),
+part AS (
+    SELECT doc_id, text, n, array_to_string(t[1:least(one, two)], '') AS prefix, array_to_string(t[least(one, two) + 1:greatest(one, two)], '') AS middle,
+        array_to_string(t[greatest(one, two) + 1:n], '') AS suffix,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR three >= 90 THEN 'plain' WHEN four < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM number
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM part
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": _OP5, "op7_tool_calls": _OP7, "op9_exact_copies": _OP9, "op10_licenses": _OP10, "op13_fill_in_middle": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
