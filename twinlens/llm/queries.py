@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from twinlens.llm.archives import index_archives, write_archives
 from twinlens.llm.decontaminate import decontaminate
 from twinlens.llm.exact_copies import exact_copies
 from twinlens.llm.infill import fill_in_middle, restore_texts
 from twinlens.llm.langid import identify_languages, learn_languages
 from twinlens.llm.licenses import COPYRIGHT_LINE, KNOWN, NOT_A_WORD, SPELLINGS, known_licenses, page_licenses
+from twinlens.llm.manifest import fold_root, page_leaf, proof_digest, seal_pages
 from twinlens.llm.near_copies import near_copies
 from twinlens.llm.pieces import decode_pages, encode_pages
 from twinlens.llm.shared import keep
@@ -111,6 +113,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("path", "doc_id")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.lit(None).cast("string").alias("side"), F.col("page_id").alias("path"), "url", "html")
+    records = index_archives(write_archives(pages, scratch_path(spark, "archives")))
+    number = lambda c: F.col(c).cast("long")
+    return records.select(number("path").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("side"), F.col("doc_id").alias("path"), "lang", "n_chars", "text")
+    fields = ("path", "side", "lang", "n_chars", "text")
+    tampered = page_leaf(*fields[:-1], F.replace("text", F.lit("\n"), F.lit("")))
+    shown = pages.withColumn("shown", F.when(fold(2, 0, "path"), tampered).otherwise(page_leaf(*fields)))
+    sealed = seal_pages(shown, fields, carry=["shown"])
+    folded = sealed.withColumn("folded_root", fold_root("witness", F.col("shown")))
+    return folded.select(
+        F.col("path").alias("doc_id"), "leaf", "subroot", "root", proof_digest("witness").alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(as_pages(table(spark, sf_dir, "documents")), keys=["path"], seed=1)
     return restore_texts(made).select(
@@ -130,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_exact_copies": op9_exact_copies,
     "op10_licenses": op10_licenses,
+    "op11_warc": op11_warc,
+    "op12_manifest": op12_manifest,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
@@ -191,6 +215,71 @@ SELECT doc.doc_id, doc.digest, license_id, coalesce(block_licenses, '') AS block
 FROM doc LEFT JOIN digest USING (digest) LEFT JOIN found ON doc.doc_id = found.doc_id
 """
 
+_OP11 = """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT payload, min(page_id) AS page_id FROM page GROUP BY payload),
+digit AS (
+    SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * g + 1, 5) AS BIGINT) >> (5 * (3 - d))) & 31 AS INTEGER) + 1, 1), '' ORDER BY g, d) AS digest
+    FROM (SELECT DISTINCT hex FROM page), (SELECT CAST(unnest(range(8)) AS INTEGER) AS g), (SELECT CAST(unnest(range(4)) AS INTEGER) AS d) GROUP BY hex
+)
+SELECT page.page_id, CAST(octet_length(page.payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page.page_id IS NOT DISTINCT FROM first.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page.page_id IS DISTINCT FROM first.page_id THEN first.page_id END AS refers_to
+FROM page JOIN first ON page.payload = first.payload JOIN digit ON page.hex = digit.hex
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# CRC-32 in SQL: eight steps of its table for each byte of the decimal id.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, zero: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END))"""
+
+_OP12 = f"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("text")} AS leaf,
+        CASE WHEN xor({_CRC}, CAST(4294967295 AS BIGINT)) % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS shown
+    FROM documents
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM doc),
+node(lvl, tree, pos, n, h) AS (
+    SELECT 0, tree, pos, n, leaf FROM ranked
+    UNION ALL
+    SELECT lvl + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lvl, tree, pos // 3, n
+),
+sub AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+upper(lvl, pos, n, h) AS (
+    SELECT 0, pos, n, h FROM sub
+    UNION ALL
+    SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n
+),
+above AS (
+    SELECT sub.tree, upper.lvl + 1000 AS lvl, string_agg(upper.h, '' ORDER BY upper.pos) FILTER (WHERE upper.pos < sub.pos // CAST(pow(3, upper.lvl) AS BIGINT)) AS l,
+        string_agg(upper.h, '' ORDER BY upper.pos) FILTER (WHERE upper.pos > sub.pos // CAST(pow(3, upper.lvl) AS BIGINT)) AS r
+    FROM sub JOIN upper ON upper.n > 1 AND upper.pos // 3 = sub.pos // CAST(pow(3, upper.lvl + 1) AS BIGINT) GROUP BY sub.tree, upper.lvl
+),
+level AS (
+    SELECT leaf.tree, leaf.pos, node.lvl, string_agg(node.h, '' ORDER BY node.pos) FILTER (WHERE node.pos < leaf.pos // CAST(pow(3, node.lvl) AS BIGINT)) AS l,
+        string_agg(node.h, '' ORDER BY node.pos) FILTER (WHERE node.pos > leaf.pos // CAST(pow(3, node.lvl) AS BIGINT)) AS r
+    FROM ranked AS leaf JOIN node ON node.tree = leaf.tree AND node.n > 1 AND node.pos // 3 = leaf.pos // CAST(pow(3, node.lvl + 1) AS BIGINT) GROUP BY leaf.tree, leaf.pos, node.lvl
+    UNION ALL
+    SELECT ranked.tree, ranked.pos, above.lvl, l, r FROM ranked JOIN above USING (tree)
+),
+proof AS (
+    SELECT tree, pos, string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY lvl) AS siblings, list(coalesce(l, '') || '|' || coalesce(r, '') ORDER BY lvl) AS steps
+    FROM level GROUP BY tree, pos
+),
+folded AS (
+    SELECT ranked.doc_id, ranked.leaf, sub.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+        list_reduce(list_prepend(ranked.shown, coalesce(steps, [])), lambda below, step: sha256(split_part(step, '|', 1) || below || split_part(step, '|', 2))) AS folded_root
+    FROM ranked JOIN sub ON ranked.tree = sub.tree LEFT JOIN proof ON ranked.tree = proof.tree AND ranked.pos = proof.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 _OP13 = """
 WITH doc AS (
     SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
@@ -214,6 +303,6 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
 FROM part
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": _OP5, "op7_tool_calls": _OP7, "op9_exact_copies": _OP9, "op10_licenses": _OP10, "op13_fill_in_middle": _OP13}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": _OP5, "op7_tool_calls": _OP7, "op9_exact_copies": _OP9, "op10_licenses": _OP10, "op11_warc": _OP11, "op12_manifest": _OP12, "op13_fill_in_middle": _OP13}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
