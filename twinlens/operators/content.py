@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinlens.functions.text import kind_family, node_key, normalize_text, trigram_similarity, truncate
 from twinlens.functions.values import describe_change, value_changes
-from twinlens.operators.align import MAX_PRODUCT, align, attach, cross_equal, dice_matrix
+from twinlens.operators.align import align, attach, cross_equal, dice_matrix
 from twinlens.operators.findings import REGIONS, build, json_text, union_all
 from twinlens.operators.scan import CHUNK, occurrence
 from twinlens.session import cut_lineage
@@ -117,7 +117,7 @@ def _node_scores(s: dict[str, list], t: dict[str, list]) -> np.ndarray:
 
 
 def content_pairs(
-    source: DataFrame, target: DataFrame, threshold: float = 0.6, max_product: int = MAX_PRODUCT, chunk: int = CHUNK
+    source: DataFrame, target: DataFrame, threshold: float = 0.6, max_product: int | None = None, chunk: int = CHUNK
 ) -> DataFrame:
     """Pair both sides' nodes page by page and region by region.
 
