@@ -40,6 +40,8 @@ def test_outputs_equal_a_plain_version_and_come_back(spark):
     assert {r[1] for r in got} == {"plain", "psm", "spm"}
     back = restore_texts(made).select("path", "text").collect()
     assert sorted(map(tuple, back), key=repr) == sorted(((p, t or "") for p, t in rows), key=repr)
+    proved = fill_in_middle(pages(spark, rows), keys=["path"], prove=True).select("path", "restored").collect()
+    assert sorted(map(tuple, proved), key=repr) == sorted(((p, t or "") for p, t in rows), key=repr)
 
 
 def test_keys_of_several_columns_and_texts_of_stored_captures(spark):

@@ -156,7 +156,7 @@ def _strings(data: np.ndarray, at: np.ndarray, valid: np.ndarray | None = None)
     return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data), nulls)
 
 
-def _cut(keys: Sequence[str], names: Sequence[str], plain: int, swapped: int):
+def _cut(keys: Sequence[str], names: Sequence[str], plain: int, swapped: int, prove: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -179,17 +179,15 @@ def _cut(keys: Sequence[str], names: Sequence[str], plain: int, swapped: int):
                 chars = np.diff(counts_before((data & 0xC0) != 0x80, points.ravel()).reshape(-1, 3), axis=1)
                 cuts[~marked] = at[1:][~marked, None]
                 out, out_at = scatter(data, at, cuts[:, 0], cuts[:, 1], form)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in keys]
-                    + [pa.array(n), pa.array(np.array(FORMS, object)[form], pa.string()), pa.array(chars[:, 0], mask=~marked),
-                       pa.array(chars[:, 1], mask=~marked), _strings(out, out_at)],
-                    names=[*keys, *names],
-                )
+                made = [pa.array(n), pa.array(np.array(FORMS, object)[form], pa.string()), *[pa.array(chars[:, i], mask=~marked) for i in (0, 1)], _strings(out, out_at)]
+                if prove:
+                    made.append(_strings(*gather(out, out_at, form)))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], *made], names=[*keys, *names])
 
     return cut
 
 
-def fill_in_middle(pages: DataFrame, keys: Sequence[str] = ("side", "path"), seed: int = 1, plain_from: int = 90, spm_below: int = 20) -> DataFrame:
+def fill_in_middle(pages: DataFrame, keys: Sequence[str] = ("side", "path"), seed: int = 1, plain_from: int = 90, spm_below: int = 20, prove: bool = False) -> DataFrame:
     """Cut each captured page's text into prefix, middle and suffix, and write the middle last.
 
     `pages` holds the columns `keys` (the library's key of a page is its side and path; any types that cast to text) and
@@ -197,7 +195,8 @@ def fill_in_middle(pages: DataFrame, keys: Sequence[str] = ("side", "path"), see
     `form`, `prefix_chars`, `middle_chars` (characters; null in plain form) and `output`. Both cuts, and the form, come
     from the SHA-256 of `seed` and the keys joined by colons, so a page is cut alike in every run; null keys are left out
     there. In form `psm` the output is prefix, suffix, middle, each behind its mark; in `spm` suffix, prefix, middle; of
-    100 pages about 100 - `plain_from` stay `plain`, and of the others `spm_below` are `spm`.
+    100 pages about 100 - `plain_from` stay `plain`, and of the others `spm_below` are `spm`. With `prove`, `restored` is
+    added: the text rebuilt from each output and its form, as `restore_texts` does, while the output is at hand.
 
     A null text counts as empty. Empty texts, and texts that hold a mark, stay plain. Rows that repeat a key and a text
     return a row each, with the same cuts. An empty table returns no rows. Nothing is shuffled; memory follows the bytes
@@ -206,9 +205,9 @@ def fill_in_middle(pages: DataFrame, keys: Sequence[str] = ("side", "path"), see
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256)
     rows = pages.select(*keys, "text", digest.alias("digest"))
     numbers = [F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
-    made = (("n", "long"), ("form", "string"), ("prefix_chars", "long"), ("middle_chars", "long"), ("output", "string"))
+    made = (("n", "long"), ("form", "string"), ("prefix_chars", "long"), ("middle_chars", "long"), ("output", "string"), *[("restored", "string")] * prove)
     out = schema(*[(k, pages.schema[k].dataType) for k in keys], *made)
-    return rows.select(*keys, "text", *numbers).mapInArrow(_cut(keys, [m for m, _ in made], plain_from, spm_below), out)
+    return rows.select(*keys, "text", *numbers).mapInArrow(_cut(keys, [m for m, _ in made], plain_from, spm_below, prove), out)
 
 
 def _restore(names: Sequence[str]):
