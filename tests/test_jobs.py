@@ -211,9 +211,58 @@ def test_html_rules(spark):
         "<div>Loose <span>inner</span></div><ul><li>One<li>Two</ul><div class='ad'><p>Ad</p></div><p>A<p>B<script>var p='</p>'</script></body></html>"
     )
     df = html.elements(spark.createDataFrame([("source", "/", page)], "side string, path string, html string"))
-    rows = html.raw_nodes(html.with_region(html.without_ignored(df, (".ad",)))).orderBy("pos").collect()
+    rows = html.raw_nodes(html.kept(html.annotate(df, (".ad",))), html.page_texts(df)).orderBy("pos").collect()
     got = [(r.kind, r.text.strip(), r.region) for r in rows]
     assert got == [
         ("paragraph", "Top", "header"), ("tableCell", "Cell", "other"), ("listItem", "One", "other"), ("listItem", "Two", "other"),
         ("paragraph", "A", "other"), ("paragraph", "B", "other"), ("paragraph", "Loose", "other"), ("link", "Home", "other"),
     ]
+
+
+def test_deep_pages_take_room_in_proportion_and_find_what_is_around(spark):
+    from twinlens.sources import html
+
+    deep = "<nav>" + "<div class='c'>x" * 2000 + "<p>deepest</p>" + "</div>" * 2000 + "</nav><p>after</p>"
+    pages = spark.createDataFrame([("source", "/", f"<html><body>{deep}</body></html>")], "side string, path string, html string")
+    raw = html.elements(pages)
+    rows = raw.toPandas()
+    assert len(rows) == 2005 and rows["page_text"].notna().sum() == 1
+    assert rows["trail"].map(len).max() == 2 and len(rows["page_text"][0]) < 4100
+    found = html.raw_nodes(html.kept(html.annotate(raw)), html.page_texts(raw)).orderBy("pos").collect()
+    assert [(r.text, r.region) for r in found[:2]] == [("deepest", "nav"), ("after", "other")]
+    assert [(r.text, r.region) for r in found[2:]] == [("x", "nav")]
+
+
+def test_enclosing_marks_equal_a_walk_up_the_tree(spark):
+    import random
+
+    from twinlens.sources import html
+
+    made = random.Random(4)
+
+    def tree(depth):
+        tag = made.choice(["div", "section", "ul", "b"])
+        inner = "".join(tree(depth - 1) for _ in range(made.randrange(4))) if depth else "t"
+        return f"<{tag}>{inner}</{tag}>"
+
+    pages = [("source", f"/{i}", "<html>" + tree(5) + tree(4) + "</html>") for i in range(8)]
+    raw = html.elements(spark.createDataFrame(pages, "side string, path string, html string"))
+    marked = html.enclosing(raw, {"s": F.col("tag") == "section", "u": F.col("tag") == "ul"}, {"s": F.col("pos")})
+    rows = {(r.path, r.pos): r for r in marked.collect()}
+    for (path, pos), row in rows.items():
+        chain, at = [], row
+        while at:
+            chain.append(at)
+            at = rows.get((path, at.parent))
+        assert row.in_s == sum(r.tag == "section" for r in chain) and row.in_u == sum(r.tag == "ul" for r in chain)
+        assert row.near_s == next((r.pos for r in chain if r.tag == "section"), None)
+        assert all(r.pos <= pos < r.exit for r in chain)
+
+
+def test_rows_of_table_cells(spark):
+    from twinlens.sources import html
+
+    page = "<table><tfoot><tr><td>f</td></tr></tfoot><tr><td>a<td>b<table><tr><td>in</td></tr></table><tbody><tr><th>c</table><tr><td>loose</td></tr>"
+    raw = html.elements(spark.createDataFrame([("source", "/", page)], "side string, path string, html string"))
+    cells = raw.where("tag IN ('td', 'th')").orderBy("pos").collect()
+    assert [("".join(c.runs), c.table_row) for c in cells] == [("f", 2), ("a", 0), ("b", 0), ("in", 0), ("c", 1), ("loose", -1)]

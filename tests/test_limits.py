@@ -20,14 +20,17 @@ def test_structured_prices_at_any_depth_take_texts_and_numbers_only(spark):
     pages = spark.createDataFrame([("source", "/p", html)], "side string, path string, html string")
     rows = sorted(json_ld_prices(elements(pages)).collect(), key=lambda r: r["pos"])
     assert [(r["raw"], r["context"]) for r in rows] == [("7.5", "Offer"), ("3", ""), ("1", "T")]
+    nested = "[" * 60_000 + "]" * 60_000
+    pages = spark.createDataFrame([("source", "/p", f'<script type="application/ld+json">{nested}</script>')], "side string, path string, html string")
+    assert json_ld_prices(elements(pages)).collect() == []
     assert len({r["pos"] for r in rows}) == 3
 
 
 def test_text_prices_of_one_element_have_places_of_their_own(spark):
-    from twinlens.sources.html import elements, text_prices, with_region, without_ignored
+    from twinlens.sources.html import annotate, elements, kept, page_texts, text_prices
 
     pages = spark.createDataFrame([("source", "/p", "<html><p>$10.00 or $20.00</p></html>")], "side string, path string, html string")
-    rows = text_prices(with_region(without_ignored(elements(pages)))).collect()
+    rows = text_prices(kept(annotate(elements(pages))), page_texts(elements(pages))).collect()
     assert len(rows) == len({r["pos"] for r in rows}) == 2
 
 
@@ -105,3 +108,53 @@ def test_no_intermediate_table_outlives_the_run(spark):
     end_run(spark)
     with pytest.raises(Exception, match="FileNotFound|does not exist"):
         is_folder(spark, place)
+
+
+def test_addresses_of_sitemaps_are_decoded(spark):
+    from twinlens.sources import sitedocs
+
+    entry = "<sm:url><sm:loc>{}</sm:loc><sm:lastmod>2020</sm:lastmod></sm:url>"
+    inside = ["\n https://h/a?x=1&amp;y=2 ", "https://h/b?q=&#38;&#x26;", "https://h/&lt;&gt;&quot;&apos;", "<![CDATA[https://h/c?a&b]]>", "https://h/d<!-- c -->e", ""]
+    xml = '<?xml version="1.0"?><sm:urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">' + "".join(map(entry.format, inside)) + "</sm:urlset>"
+    broken = xml.replace("https://h/d", "https://h/d?a=1&b=2").replace("</sm:urlset>", "<oops>").replace("<!-- c -->", "")
+    plain = "<urlset><url><loc>https://h/one</loc></url></urlset>"
+    docs = spark.createDataFrame([("h", f"u{i}", "sitemap", d) for i, d in enumerate([xml, broken, plain, "", None, "<urlset/>"])], "host string, doc_url string, kind string, body string")
+    got = {}
+    for r in sitedocs.sitemap_urls(docs).orderBy("pos").collect():
+        got.setdefault(r["doc_url"], []).append(r["loc"])
+    same = ["https://h/a?x=1&y=2", "https://h/b?q=&&", "https://h/<>\"'", "https://h/c?a&b"]
+    assert got == {"u0": [*same, "https://h/de"], "u1": [*same, "https://h/d?a=1&b=2e"], "u2": ["https://h/one"]}
+
+
+def test_many_rules_of_one_host_are_looked_up_by_their_heads(spark):
+    from twinlens.operators.intake import robots_allowed
+
+    n = 200_000
+    rules = spark.range(n).select(F.lit("h").alias("host"), F.lit("disallow").alias("kind"), F.concat(F.lit("/p"), F.col("id").cast("string"), F.lit("/")).alias("pattern"))
+    few = [("h", "allow", "/p7/open"), ("h", "disallow", "/*.pdf$"), ("h", "disallow", "*secret"), ("h", "allow", "/x$"), ("h", "disallow", "/x"), ("z", "disallow", "/"), ("z", "allow", "/")]
+    rules = rules.unionByName(spark.createDataFrame(few, "host string, kind string, pattern string"))
+    wanted = {("h", "/p7/a"): False, ("h", "/p7/open/b"): True, ("h", "/p200001/"): True, ("h", "/a.pdf"): False, ("h", "/a.pdf?x"): True, ("h", "/my/secret"): False,
+              ("h", "/x"): True, ("h", "/xy"): False, ("z", "/any"): True, ("q", "/"): True, ("h", None): True, (None, "/"): True, ("h", ""): True}
+    pages = spark.createDataFrame([(h, p, i) for i, (h, p) in enumerate([*wanted, *wanted])], "host string, path string, n int")
+    got = robots_allowed(pages, rules).collect()
+    assert len(got) == 2 * len(wanted) and {(r["host"], r["path"]): r["allowed"] for r in got} == wanted
+
+
+def test_repeated_findings_of_one_id_keep_their_number(spark):
+    from collections import Counter
+
+    from twinlens.operators import rundiff
+
+    ddl = "id string, severity string, category string, path string, label string, viewport string, expected_json string, actual_json string, magnitude double"
+    row = lambda i, severity="error", actual="1", label="l": (i, severity, "mixed", "/p", label, None, "0", actual, 1.0)
+    before = [row("a"), row("a"), row("b", actual='{"x":1,"y":2}'), row("b", actual="5"), row("c"), row("d"), *[row("hot")] * 300, row("e", "info"), row("e", "info"), row(None)]
+    after = [row("a", label="other"), row("b", actual="7"), row("b", actual='{"y": 2,"x":1}'), row("b", actual="8"), row("c"), *[row("hot")] * 290, row("e", "error"), row("e", "info"), row("n"), row("n")]
+    made = lambda rows: spark.createDataFrame(rows, ddl).repartition(3)
+    got = Counter((r["id"], r["bucket"], r["escalated"]) for r in rundiff.diff_runs(made(before), made(after)).collect())
+    assert got == {
+        ("a", "unchanged", False): 1, ("a", "fixed", False): 1, ("b", "unchanged", False): 1, ("b", "changed", False): 1, ("b", "added", False): 1, ("c", "unchanged", False): 1,
+        ("d", "fixed", False): 1, ("hot", "unchanged", False): 290, ("hot", "fixed", False): 10, ("e", "unchanged", False): 1, ("e", "changed", True): 1, ("n", "added", False): 2,
+        (None, "fixed", False): 1,
+    }
+    same = rundiff.diff_runs(made(before), made(before)).groupBy("bucket").count().collect()
+    assert [tuple(r) for r in same] == [("unchanged", len(before))]

@@ -16,9 +16,9 @@ def test_every_inventory_row_is_covered():
 # the pairing with a plain sequential one (test_align) and the scanner's rows with small pages (test_jobs, test_limits).
 WITHOUT_SQL = {
     "content_align", "content_findings", "image_findings", "image_stats", "price_findings", "price_stats", "run_compare",
-    "run_statistics", "store_sizes", "extract_nodes", "extract_images",
+    "run_statistics", "store_sizes", "extract_images",
 }
-ROWS_WITHOUT_SQL = {"F1", "F4", "G1", "J3", "J4", "J10", "K18", "B2", "B4", "B15", "B16", "B21", "B23"}
+ROWS_WITHOUT_SQL = {"F1", "F4", "G1", "J3", "J4", "J10", "K18", "B23"}
 
 
 def test_only_named_queries_are_without_second_engine_sql():

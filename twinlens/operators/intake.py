@@ -12,6 +12,7 @@ from twinlens.config import IntakeRules, TrapLimits, UrlRules
 from twinlens.functions.urls import canonicalize, clean_url, parse_url, query_params
 from twinlens.functions.urls import origin as origin_of
 from twinlens.operators.scan import CHUNK, first_rows, running
+from twinlens.session import cut_lineage
 
 
 def _literal_origin(url: str) -> str:
@@ -224,27 +225,32 @@ def first_rule(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
+def rule_heads(rules: DataFrame) -> DataFrame:
+    """Allow and disallow rules with `head`, the literal start of the pattern, and `regex` where a wildcard follows it."""
+    wild = F.col("pattern").contains("*") | F.col("pattern").endswith("$")
+    head = F.substring_index(F.regexp_replace("pattern", r"\$$", ""), "*", 1)
+    regex = F.when(wild, pattern_regex(F.col("pattern")))
+    return rules.where(F.col("kind").isin("allow", "disallow")).select("host", "kind", head.alias("head"), regex.alias("regex"), F.length("pattern").alias("length")).distinct()
+
+
 def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Longest matching rule decides, Allow wins ties; no rule allows.
 
-    `rules(host, kind, pattern)` comes from one robots document per host; its lines are
-    packed into one row per host, so a page row stays one row through the join.
+    `rules(host, kind, pattern)` may hold any number of rules of a host. A rule can match only a path that starts with
+    its head, so each start of a path, up to the longest head there is, is looked up by an equality join; wildcards are
+    tried on what that finds.
     """
-    packed = rules.select("host", "kind", "pattern", pattern_regex(F.col("pattern")).alias("regex")).groupBy("host").agg(
-        F.collect_list(F.struct("kind", "pattern", "regex")).alias("_rules")
-    )
-    joined = pages.join(packed, "host", "left")
-    longest = lambda kind: F.coalesce(
-        F.array_max(
-            F.transform(
-                F.filter("_rules", lambda r: (r["kind"] == kind) & F.regexp(F.col("path"), r["regex"])),
-                lambda r: F.length(r["pattern"]),
-            )
-        ),
-        F.lit(-1),
-    )
-    deny, allow = longest("disallow"), longest("allow")
-    return joined.withColumn("allowed", (deny == -1) | (allow >= deny)).drop("_rules")
+    heads = cut_lineage(rule_heads(rules))
+    longest = heads.agg(F.max(F.length("head")).alias("n")).first()["n"]
+    if longest is None:
+        return pages.withColumn("allowed", F.lit(True))
+    asked = pages.select("host", "path").where(F.col("host").isNotNull() & F.col("path").isNotNull()).distinct()
+    ends = F.sequence(F.lit(0), F.least(F.length("path"), F.lit(longest)))
+    starts = asked.select("host", "path", F.explode(ends).alias("n")).withColumn("head", F.left("path", F.col("n"))).drop("n")
+    hits = starts.join(heads, ["host", "head"]).where(F.col("regex").isNull() | F.regexp(F.col("path"), F.col("regex")))
+    best = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("length"))), F.lit(-1))
+    verdict = hits.groupBy("host", "path").agg((best("allow") >= best("disallow")).alias("allowed"))
+    return pages.join(verdict, ["host", "path"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True))).select(*pages.columns, "allowed")
 
 
 def pattern_regex(pattern: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.operators.findings import at_or_above, ranking, severity_rank
-from twinlens.operators.scan import first_rows
+from twinlens.operators.scan import number_rows
+from twinlens.session import cut_lineage
 
 BUCKETS = ("added", "fixed", "changed", "unchanged")
 
@@ -19,23 +22,60 @@ def canonical_json(col: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(col)), col)
 
 
-def one_per_id(findings: DataFrame) -> DataFrame:
-    """Repeated ids keep their most serious row, ties by path and values."""
-    order = [severity_rank(F.col("severity")), F.col("path"), F.coalesce("expected_json", F.lit("")),
-             F.coalesce("actual_json", F.lit(""))]
-    return first_rows(findings, ["id"], order)
+_STATE = ("severity", "category", "path", "label", "viewport", "expected_json", "actual_json", "magnitude")
+
+
+def _paired(before: DataFrame, after: DataFrame, on: list[str]) -> DataFrame:
+    """Both sides by `on`, which holds nulls like any other value; each side keeps its rows."""
+    b, a = before.alias("b"), after.alias("a")
+    same = reduce(lambda x, y: x & y, [F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")) for c in on])
+    joined = b.join(a, same, "full_outer")
+    return joined.select(*[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in on], F.col("b.state").alias("previous"), F.col("a.state").alias("current"))
+
+
+def _repeated_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Pairs of findings whose id repeats: equal ones first, then the n-th that is left against the n-th."""
+    kind = ["id", "severity", "expected", "actual"]
+    order = ["path", "label", "viewport", "category", "magnitude"]
+
+    def numbered(df: DataFrame, by: list[str], more: list[str]) -> DataFrame:
+        flat = df.select(
+            "id", F.col("state.severity").alias("severity"), canonical_json(F.col("state.expected_json")).alias("expected"),
+            canonical_json(F.col("state.actual_json")).alias("actual"), severity_rank(F.col("state.severity")).alias("rank"),
+            *[F.col(f"state.{c}").alias(c) for c in order], "state",
+        )
+        return number_rows(flat, by, [*more, *order], "nth")
+
+    alike = cut_lineage(_paired(numbered(before, kind, []), numbered(after, kind, []), [*kind, "nth"]))
+    both = F.col("previous").isNotNull() & F.col("current").isNotNull()
+    left = alike.where(~both)
+    rest = lambda name: numbered(left.where(F.col(name).isNotNull()).select("id", F.col(name).alias("state")), ["id"], ["rank", "expected", "actual"])
+    others = _paired(rest("previous"), rest("current"), ["id", "nth"])
+    return alike.where(both).select("id", "previous", "current").unionByName(others.select("id", "previous", "current"))
 
 
 def diff_runs(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """Full outer join on id: bucket, escalation flag and both sides' state."""
-    state = F.struct("severity", "category", "path", "label", "viewport", "expected_json", "actual_json", "magnitude")
-    before = one_per_id(baseline).select("id", state.alias("previous"))
-    after = one_per_id(current).select("id", state.alias("current"))
+    """Full outer pairing on id: bucket, escalation flag and both sides' state.
+
+    Every finding is in one row. An id that occurs once on each side, as most do, is one join. Of an id that repeats,
+    findings of equal severity and values pair first, the others by their place in report order; what one side has more
+    is fixed or added.
+    """
+    state = F.struct(*_STATE).alias("state")
+    # Read several times below, and findings may be the end of long plans.
+    before, after = cut_lineage(baseline.select("id", state)), cut_lineage(current.select("id", state))
+    counted = before.select("id", F.lit(0).alias("side")).unionByName(after.select("id", F.lit(1).alias("side"))).groupBy("id", "side").count()
+    repeated = cut_lineage(counted.where("count > 1").select("id").distinct())
+    if repeated.isEmpty():
+        joined = before.withColumnRenamed("state", "previous").join(after.withColumnRenamed("state", "current"), "id", "full_outer")
+    else:
+        once = [df.join(repeated, "id", "left_anti") for df in (before, after)]
+        more = [df.join(repeated, "id", "left_semi") for df in (before, after)]
+        joined = _paired(*once, ["id"]).unionByName(_repeated_pairs(*more))
     same = lambda name: canonical_json(F.col(f"previous.{name}")).eqNullSafe(
         canonical_json(F.col(f"current.{name}"))
     )
     moved = (F.col("previous.severity") != F.col("current.severity")) | ~same("expected_json") | ~same("actual_json")
-    joined = before.join(after, "id", "full_outer")
     bucket = (
         F.when(F.col("previous").isNull(), F.lit("added"))
         .when(F.col("current").isNull(), F.lit("fixed"))

@@ -8,10 +8,13 @@ total per chunk is scanned across the group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.session import cut_lineage
+
 CHUNK = 1 << 16
 
 
@@ -86,6 +89,24 @@ def occurrence(df: DataFrame, by: Sequence[str], pos: str, out: str, chunk: int
     return df.withColumn(out, F.col(out).cast("bigint"))
 
 
+def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Add `out`: the place of each row in its group by the columns `order`, from 0, for columns of any orderable type.
+
+    Rows are sorted by range over all groups and stored, so a big group spreads over many tasks; only one count per
+    group and task is summed up across a group. Rows equal in all of it are numbered in any order.
+    """
+    by = list(by)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(*by, *order, "_tie").sortWithinPartitions(*by, *order, "_tie").drop("_tie")
+    placed = cut_lineage(ranged.withColumn("_row", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_row", 33))
+    counts = placed.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    same = reduce(lambda x, y: x & y, [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*by, "_part")])
+    joined = placed.alias("p").join(counts.alias("c"), same)
+    return joined.select(*[F.col(f"p.{c}").alias(c) for c in df.columns], (F.col("p._row") + F.col("c._before")).alias(out))
+
+
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per group, the first by `order`, with map-side combine instead of a window."""
     by = list(by)

@@ -21,7 +21,7 @@ from twinlens.operators.content import assemble_nodes
 from twinlens.operators.findings import CATEGORIES, COLUMNS, finding_id
 from twinlens.operators.styles import overflows
 from twinlens.session import cut_lineage
-from twinlens.sources.html import elements, resolve_links
+from twinlens.sources.html import annotate, elements, kept, resolve_links
 from twinlens.sources.snapshots import path_slug
 
 BASE = (
@@ -516,11 +516,18 @@ class Tables:
 
     @cached_property
     def page_html(self) -> DataFrame:
-        return self.derived("first_pages").join(self.pages.select("page_id", "html"), "page_id").select(
-            F.lit("source").alias("side"), F.col("key").alias("path"), "html"
-        )
+        """Every row of the pages, repeats of a key too: the path names the key and the page."""
+        path = F.concat("key", F.lit("#"), F.col("page_id").cast("string"))
+        return self.canon.select("page_id", "key").join(self.pages.select("page_id", "html"), "page_id").select(F.lit("source").alias("side"), path.alias("path"), "page_id", "html")
 
     @cached_property
     def elements(self) -> DataFrame:
         """Element rows of the pages: parsed once, read by every extraction rule."""
-        return cut_lineage(elements(self.page_html))
+        # One file of pages is one task unless its rows are dealt out; scanning costs far more than moving them.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return cut_lineage(elements(self.page_html.repartition(tasks)))
+
+    @cached_property
+    def annotated(self) -> DataFrame:
+        """Elements that are not ignored, with their regions and what stands around them."""
+        return cut_lineage(kept(annotate(self.elements, (".ad",))))

@@ -15,6 +15,7 @@ from twinlens.operators.scan import occurrence
 from twinlens.operators.stats import finding_counts
 from twinlens.plans import second_engine as sql
 from twinlens.plans.derive import PORTABLE, Tables
+from twinlens.plans.queries_report import _DIFF
 from twinlens.plans.registry import query
 from twinlens.session import cut_lineage, scratch_path
 from twinlens.sources import html, sitedocs
@@ -162,15 +163,12 @@ def store_report_sinks(t: Tables):
 
 @query(
     "store_diff_sink", "A16",
-    "SELECT 'current' AS run_id, coalesce(c.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'fixed' ELSE 'both' END AS side "
-    "FROM (SELECT DISTINCT id FROM fid) c FULL JOIN (SELECT DISTINCT id FROM fid_base) b ON b.id = c.id", "fid fid_base",
+    _DIFF + "SELECT 'current' AS run_id, id, bucket FROM diff", "fid fid_base",
 )
 def store_diff_sink(t: Tables):
     out = scratch(t, "diff")
     store.write_diff(diff_runs(t.findings("baseline"), t.findings("current")), out, "current")
-    read = t.spark.read.schema("id string, bucket string, run_id string").json(out)
-    side = F.when(F.col("bucket").isin("added", "fixed"), F.col("bucket")).otherwise(F.lit("both"))
-    return read.select("run_id", "id", side.alias("side"))
+    return t.spark.read.schema("id string, bucket string, run_id string").json(out).select("run_id", "id", "bucket")
 
 
 # --- site documents ---------------------------------------------------------------------
@@ -418,95 +416,132 @@ def graph_reach(t: Tables):
 # --- extraction -------------------------------------------------------------------------
 
 
-def _elements(t: Tables):
-    return html.with_region(t.elements)
-
-
-def _kept(t: Tables):
-    return html.without_ignored(_elements(t), (".ad",))
+# Start tags of each page in order, and the text from each to the next one. Fixed pages: tags nest as the generator writes them.
+_TAGS = (
+    "tags AS (SELECT page_id, path, unnest(range(len(t)))::INT AS pos, unnest(t) AS open, unnest(s) AS seg FROM (SELECT p.page_id, c.key || '#' || p.page_id AS path, "
+    "regexp_extract_all(html, '<[a-z][^>]*>') AS t, string_split_regex(html, '<[a-z][^>]*>')[2:] AS s FROM pages p JOIN canon c ON c.page_id = p.page_id) x), "
+    "named AS (SELECT page_id, path, pos, open, regexp_extract(open, '<([a-z0-9]+)', 1) AS tag, replace(replace(replace(replace(replace(replace(replace(regexp_replace(seg, '</[a-z0-9]+>|<!--.*?-->', '', 'g'), "
+    "'&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&') AS seg FROM tags), "
+    "kept AS (SELECT *, CASE WHEN tag IN ('nav', 'ul', 'li', 'a') THEN 'nav' WHEN tag = 'footer' THEN 'footer' ELSE 'other' END AS region, "
+    "lead(tag) OVER w AS next_tag, lead(seg) OVER w AS next_seg, lead(seg, 2) OVER w AS third_seg FROM named WINDOW w AS (PARTITION BY page_id ORDER BY pos))"
+)
+_HREF = "replace(regexp_extract(open, 'href=\"([^\"]*)\"', 1), '&amp;', '&')"
 
 
 @query(
     "extract_elements", "B14",
-    "SELECT count(*) FILTER (tag = 'a') AS anchors, count(*) FILTER (tag = 'h1') AS headings FROM (SELECT unnest(regexp_extract_all(html, "
-    "'<(a|h1)[ >]', 1)) AS tag FROM first_pages f JOIN pages p ON p.page_id = f.page_id) x", "first_pages",
+    f"WITH {_TAGS} SELECT path, pos, tag FROM kept WHERE tag NOT IN ('style', 'script', 'div')", "canon",
 )
 def extract_elements(t: Tables):
-    return _kept(t).agg(
-        F.count_if(F.col("tag") == "a").alias("anchors"), F.count_if(F.col("tag") == "h1").alias("headings")
-    )
+    return t.annotated.select("path", "pos", "tag")
 
 
-@query("extract_nodes", "B1 B2 B3 B4 B12 B15 B16 B21")
+@query(
+    "extract_nodes", "B1 B2 B3 B4 B12 B15 B16 B21",
+    f"WITH {_TAGS} SELECT path, pos + CASE tag WHEN 'a' THEN 2147483648 WHEN 'footer' THEN 1073741824 ELSE 0 END AS pos, region, CASE tag WHEN 'h1' THEN 'heading' WHEN 'a' "
+    "THEN 'link' ELSE 'paragraph' END AS kind, CASE WHEN tag = 'p' AND next_tag = 'b' THEN seg || next_seg || chr(10) || third_seg WHEN tag = 'a' THEN trim(seg) ELSE seg END AS text, "
+    "CASE tag WHEN 'a' THEN 'ul > li > a' WHEN 'footer' THEN 'footer' ELSE 'article > ' || tag END AS selector_hint, TRUE AS visible, "
+    f"CASE tag WHEN 'h1' THEN '{{\"level\":1}}' WHEN 'a' THEN '{{\"href\":' || to_json({_HREF}) || '}}' ELSE '{{}}' END AS attrs FROM kept WHERE tag IN ('h1', 'p', 'a', 'footer')", "canon",
+)
 def extract_nodes(t: Tables):
-    rows = html.raw_nodes(_kept(t))
+    rows = html.raw_nodes(t.annotated, html.page_texts(t.elements))
     return rows.select(
         "path", "pos", "region", "kind", "text", "selector_hint", "visible",
         F.to_json(node_attrs(F.col("kind"))).alias("attrs"),
     )
 
 
+_GRID = (
+    "'<html><body><table><tfoot><tr><td>' || p_size || '</td></tr></tfoot><tbody><tr><td>' || p_brand || '</td><th><span>' || p_type || '</span></th></tr><tr><td>lone' "
+    "|| p_partkey || '</td></tr></tbody><thead><tr><th>head</th></tr></thead></table><ul><li>one<ul><li>in</li></ul></li></ul><td>no table</td></body></html>'"
+)
+
+
+@query(
+    "extract_cells", "B1 B21",
+    "SELECT p_partkey::VARCHAR AS path, kind, row, col, depth, text FROM part, LATERAL (VALUES ('tableCell', 3, 0, NULL, p_size::VARCHAR), ('tableCell', 1, 0, NULL, p_brand), "
+    "('tableCell', 1, 1, NULL, p_type), ('tableCell', 2, 0, NULL, 'lone' || p_partkey), ('tableCell', 0, 0, NULL, 'head'), ('listItem', NULL, NULL, 1, 'one' || chr(10) || chr(10) || 'in'), "
+    "('tableCell', -1, 2, NULL, 'no table')) v(kind, row, col, depth, text)",
+)
+def extract_cells(t: Tables):
+    """Parts as small tables: the row of a cell counts heads before bodies before feet."""
+    pages = t.part.select(F.lit("source").alias("side"), F.col("p_partkey").cast("string").alias("path"), F.expr(_GRID).alias("html"))
+    raw = cut_lineage(html.elements(pages))
+    rows = html.raw_nodes(html.kept(html.annotate(raw)), html.page_texts(raw))
+    return rows.where(F.col("kind").isin("tableCell", "listItem")).select("path", "kind", "row", "col", "depth", F.trim("text").alias("text"))
+
+
 @query(
     "extract_headings", "B1",
-    f"SELECT f.key AS path, replace({sql.squeeze('regexp_extract(html, $$(?s)<h1>(.*?)</h1>$$, 1)')}, '&amp;', '&') AS text FROM first_pages f JOIN pages p "
-    "ON p.page_id = f.page_id WHERE regexp_matches(html, '(?s)<h1>.*?</h1>')", "first_pages",
+    f"WITH {_TAGS} SELECT path, {sql.squeeze('seg')} AS text FROM kept WHERE tag = 'h1'", "canon",
 )
 def extract_headings(t: Tables):
-    rows = html.raw_nodes(_kept(t)).where((F.col("kind") == "heading"))
+    rows = html.raw_nodes(t.annotated, html.page_texts(t.elements)).where((F.col("kind") == "heading"))
     return rows.select("path", F.trim(F.regexp_replace("text", r"[\s\x{a0}]+", " ")).alias("text"))
 
 
 @query(
     "extract_links", "B3 B22",
-    "SELECT f.key AS path, href, count(*) AS n FROM first_pages f JOIN hrefs h ON h.page_id = f.page_id GROUP BY 1, 2", "first_pages hrefs",
+    f"WITH {_TAGS} SELECT path, {_HREF} AS href, count(*) AS n FROM kept WHERE tag = 'a' GROUP BY 1, 2", "canon",
 )
 def extract_links(t: Tables):
-    anchors = _kept(t).where((F.col("tag") == "a") & F.map_contains_key("attrs", "href"))
+    anchors = t.annotated.where((F.col("tag") == "a") & F.map_contains_key("attrs", "href"))
     return anchors.groupBy("path", F.col("attrs")["href"].alias("href")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "extract_link_records", "B22",
-    "SELECT f.key AS path, href, 'internal' AS kind FROM first_pages f JOIN hrefs h ON h.page_id = f.page_id GROUP BY 1, 2", "first_pages hrefs",
+    f"WITH {_TAGS} SELECT path, {_HREF} AS href, 'internal' AS kind, region, TRUE AS visible, trim(regexp_replace(min_by(seg, pos), '\\s+', ' ', 'g')) AS text, min(pos) AS pos "
+    "FROM kept WHERE tag = 'a' GROUP BY path, href, region", "canon",
 )
 def extract_link_records(t: Tables):
     urls = t.page_html.select("side", "path", F.concat(F.lit("https://legacy.example"), "path").alias("page_url"))
-    return html.link_records(_kept(t), urls, ["https://legacy.example"]).select("path", "href", "kind")
+    found = html.link_records(t.annotated, html.page_texts(t.elements), urls, ["https://legacy.example"])
+    return found.select("path", "href", "kind", "region", "visible", F.trim("text").alias("text"), "pos")
 
 
 @query("extract_images", "B4 B23")
 def extract_images(t: Tables):
     """Images and background images; this crawl shows few, so every link also stands in as one."""
-    df = _kept(t)
+    df = t.annotated
     link = F.col("tag") == "a"
     src = F.concat(F.lit("/img"), F.col("attrs")["href"], F.lit(".0a1b2c3d.png"))
     shown = df.withColumns(
         {
-            "attrs": F.when(link, F.create_map(F.lit("src"), src, F.lit("alt"), F.col("own_text"))).otherwise(F.col("attrs")),
+            "attrs": F.when(link, F.create_map(F.lit("src"), src, F.lit("alt"), html.own_text())).otherwise(F.col("attrs")),
             "tag": F.when(link, F.lit("img")).otherwise(F.col("tag")),
         }
     )
     return with_asset_key(html.image_rows(shown), "src").select("path", "pos", "src", "asset_key", "region", "is_background")
 
 
+_HEAD = (
+    "'<link rel=\"canonical\" href=\"' || url || '\"><meta name=\"description\" content=\" About ' || page_id || '\"><meta name=\"description\" content=\"second\">' || "
+    "CASE WHEN page_id % 3 = 0 THEN '<meta name=\"robots\" content=\"noindex\">' ELSE '' END || '<meta property=\"og:title\" content=\"T' || page_id % 10 || '\">' || "
+    "'<meta property=\"og:description\" content=\"D\"><meta property=\"og:image\" content=\"/i/' || page_id || '.png\"></head>'"
+)
+
+
 @query(
     "extract_meta", "B11",
-    # The pages have a title and a language and none of the other six fields.
-    f"SELECT f.key AS path, replace({sql.squeeze('regexp_extract(html, $$(?s)<title>(.*?)</title>$$, 1)')}, '&amp;', '&') AS title, "
-    "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, NULL AS description, NULL AS canonical, NULL AS robots, NULL AS og_title, "
-    "NULL AS og_description, NULL AS og_image FROM first_pages f JOIN pages p ON p.page_id = f.page_id",
-    "first_pages",
+    f"SELECT c.key || '#' || p.page_id AS path, replace({sql.squeeze('regexp_extract(html, $$(?s)<title>(.*?)</title>$$, 1)')}, '&amp;', '&') AS title, "
+    "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, 'About ' || p.page_id AS description, replace(p.url, '&amp;', '&') AS canonical, CASE WHEN p.page_id % 3 = 0 THEN 'noindex' END AS robots, "
+    "'T' || p.page_id % 10 AS og_title, 'D' AS og_description, '/i/' || p.page_id || '.png' AS og_image FROM pages p JOIN canon c ON c.page_id = p.page_id",
+    "canon",
 )
 def extract_meta(t: Tables):
-    return html.page_meta(_elements(t)).drop("side")
+    """Pages with a written head: of two descriptions the first one counts."""
+    full = t.page_html.join(t.pages.select("page_id", "url"), "page_id").withColumn("html", F.replace("html", F.lit("</head>"), F.expr(_HEAD)))
+    raw = cut_lineage(html.elements(full.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))))
+    return html.page_meta(raw, html.page_texts(raw)).drop("side")
 
 
 @query(
     "extract_regions", "B12",
-    "SELECT 'nav' AS region, count(*) AS n FROM first_pages f JOIN hrefs h ON h.page_id = f.page_id", "first_pages hrefs",
+    f"WITH {_TAGS} SELECT path, pos, region FROM kept WHERE tag NOT IN ('style', 'script', 'div')", "canon",
 )
 def extract_regions(t: Tables):
-    return _kept(t).where(F.col("tag") == "a").groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    return t.annotated.select("path", "pos", "region")
 
 
 _NAMES = (
@@ -555,8 +590,8 @@ _CENTS = "(floor(p_retailprice)::BIGINT || '.25')"
 )
 def extract_prices(t: Tables):
     raw = cut_lineage(html.elements(_shop_html(t)))
-    df = html.with_region(html.without_ignored(raw))
-    found = html.json_ld_prices(raw).unionByName(html.marked_prices(df, (".cost",))).unionByName(html.text_prices(df))
+    df, texts = html.kept(html.annotate(raw)), html.page_texts(raw)
+    found = html.json_ld_prices(raw).unionByName(html.marked_prices(df, texts, (".cost",))).unionByName(html.text_prices(df, texts))
     distinct = assets.dedupe_candidates(found)
     parsed = distinct.withColumn("_p", parse_price(F.col("raw"), F.col("hint"))).where(F.col("_p").isNotNull())
     records = parsed.withColumns({"amount": F.col("_p.amount"), "currency": F.col("_p.currency")}).drop("_p", "hint")

@@ -394,19 +394,22 @@ def report_orphans(t: Tables):
 
 # --- run over run -----------------------------------------------------------------------
 
-_STATE = "severity, category, path, label, viewport, expected_json, actual_json, magnitude"
-_ONE = (
-    "{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY " + sql.SEV
-    + ", path, coalesce(expected_json, ''), coalesce(actual_json, ''), event_id) AS k FROM {t}) x WHERE k = 1)"
-)
+# Findings of one id, severity and values pair first, the n-th with the n-th; of what is left of an id the n-th with the n-th.
+_MORE = ", ".join(f"{c} NULLS FIRST" for c in ("path", "label", "viewport", "category", "magnitude"))
+_KINDS = "{n}k AS (SELECT *, row_number() OVER (PARTITION BY id, severity, expected_json, actual_json ORDER BY " + _MORE + ") AS nth FROM {t})"
+_LEFT = (
+    "{n}r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY " + sql.SEV + ", expected_json NULLS FIRST, actual_json NULLS FIRST, " + _MORE
+    + ") AS m FROM {n}k x WHERE NOT EXISTS (FROM {o}k y WHERE x.id = y.id AND x.severity = y.severity AND x.nth = y.nth AND "
+    "x.expected_json IS NOT DISTINCT FROM y.expected_json AND x.actual_json IS NOT DISTINCT FROM y.actual_json))"
+)
+_WORSE = "CASE {} WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
 _DIFF = (
-    "WITH " + _ONE.format(n="b", t="fid_base") + ", " + _ONE.format(n="c", t="fid")
-    + ", diff AS (SELECT coalesce(b.id, c.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'fixed' WHEN b.severity <> "
-    "c.severity OR b.expected_json IS DISTINCT FROM c.expected_json OR b.actual_json IS DISTINCT FROM c.actual_json THEN 'changed' ELSE "
-    "'unchanged' END AS bucket, coalesce(c.severity, b.severity) AS severity, coalesce(c.category, b.category) AS category, "
-    "coalesce(c.path, b.path) AS path, CASE WHEN c.id IS NULL THEN b.magnitude ELSE c.magnitude END AS magnitude, "
-    "b.severity IS NOT NULL AND c.severity IS NOT NULL AND CASE c.severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END < CASE b.severity "
-    "WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS escalated FROM b FULL JOIN c ON b.id = c.id) "
+    "WITH " + _KINDS.format(n="b", t="fid_base") + ", " + _KINDS.format(n="c", t="fid") + ", " + _LEFT.format(n="b", o="c") + ", " + _LEFT.format(n="c", o="b")
+    + ", diff AS (SELECT c.id, 'unchanged' AS bucket, c.severity, c.category, c.path, c.magnitude, false AS escalated FROM ck c JOIN bk b ON b.id = c.id AND "
+    "b.severity = c.severity AND b.nth = c.nth AND b.expected_json IS NOT DISTINCT FROM c.expected_json AND b.actual_json IS NOT DISTINCT FROM c.actual_json "
+    "UNION ALL SELECT coalesce(b.id, c.id), CASE WHEN b.id IS NULL THEN 'added' WHEN c.id IS NULL THEN 'fixed' ELSE 'changed' END, "
+    "coalesce(c.severity, b.severity), coalesce(c.category, b.category), coalesce(c.path, b.path), CASE WHEN c.id IS NULL THEN b.magnitude ELSE c.magnitude END, "
+    f"coalesce({_WORSE.format('c.severity')} < {_WORSE.format('b.severity')} AND b.id IS NOT NULL AND c.id IS NOT NULL, false) FROM br b FULL JOIN cr c ON b.id = c.id AND b.m = c.m) "
 )
 
 
@@ -470,7 +473,7 @@ def diff_gate(t: Tables):
 
 @query(
     "diff_self", "L1",
-    "SELECT 'unchanged' AS bucket, count(DISTINCT id) AS count FROM fid", "fid",
+    "SELECT 'unchanged' AS bucket, count(*) AS count FROM fid", "fid",
 )
 def diff_self(t: Tables):
     same = rundiff.diff_runs(t.findings(), t.findings())

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.prices import scan_currency
@@ -46,25 +47,39 @@ _P_ENDERS = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr main nav ol p pre section table ul".split()
 )
+_PARTS = ("thead", "tbody", "tfoot")
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"},
-             "tr": {"tr", "td", "th"}, "option": {"option"}}
+             "tr": {"tr", "td", "th"}, "option": {"option"}, **{p: {*_PARTS, "tr", "td", "th"} for p in _PARTS}}
 _SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"},
-           "tr": {"table"}, "option": {"select"}}
+           "tr": {"table", *_PARTS}, "option": {"select"}, **{p: {"table"} for p in _PARTS}}
 
+KEYS = ("side", "path")
+_BRIEF = "struct<tag:string,class:string,id:string>"
 ELEMENTS_DDL = (
-    "pos int, parent int, tag string, attrs map<string,string>, own_text string, inner_text string, "
-    "ancestors array<struct<pos:int,tag:string,role:string,class:string,id:string,href:boolean,itemscope:boolean>>, "
-    "runs array<string>, child_index int, carries boolean, tag_index int"
+    "pos int, exit int, parent int, tag string, attrs map<string,string>, runs array<string>, text_from int, text_to int, parent_from int, "
+    f"parent_to int, child_index int, tag_index int, table_row int, carries boolean, trail array<{_BRIEF}>, page_text binary"
 )
 
 
 class _Elements(HTMLParser):
-    """Element rows of one page, in document order."""
+    """Elements of one page in document order, as lists by column.
+
+    An element is an interval: `pos` is its number, `exit` the number after its last descendant's. Its text is a range of
+    bytes of the page's text. So the rows of a page take room in proportion to the page, however deep it nests.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.stack: list[dict] = []
+        self.open: Counter[str] = Counter()
+        self.pieces: list[bytes] = []
+        self.size = self.carriers = self.machines = 0
+
+    def _write(self, piece: str) -> None:
+        raw = piece.encode("utf-8", "replace")
+        self.pieces.append(raw)
+        self.size += len(raw)
 
     def handle_starttag(self, tag, attrs):
         if tag in _P_ENDERS:
@@ -73,93 +88,151 @@ class _Elements(HTMLParser):
             self._close(_SIBLINGS[tag], _SCOPES[tag])
         parent = self.stack[-1] if self.stack else None
         a = {k: v or "" for k, v in attrs}
+        if self.stack and (tag == "br" or tag in BLOCKS or tag in _P_ENDERS):
+            self._write("\n")
+        here = parent if parent and parent["tag"] not in ("html", "body") else None
         row = {
-            "pos": len(self.rows), "parent": parent["pos"] if parent else -1, "tag": tag, "attrs": a, "runs": [],
-            "text": [], "kids": 0, "tag_kids": {}, "up": [r for r in self.stack], "carries": False,
-            "child_index": parent["kids"] if parent else 0,
-            "tag_index": parent["tag_kids"].get(tag, 0) if parent else 0,
-        }
+            "pos": len(self.rows), "parent": parent["pos"] if parent else -1, "tag": tag, "attrs": a, "runs": [], "kids": 0, "tag_kids": {},
+            "child_index": parent["kids"] if parent else 0, "tag_index": parent["tag_kids"].get(tag, 0) if parent else 0,
+            "text_from": self.size, "trail": [{"tag": r["tag"], "class": r["attrs"].get("class", ""), "id": r["attrs"].get("id", "")} for r in ([here, here["above"]] if here else []) if r],
+            "above": here, "table": self._table_of(tag, parent), "table_row": -1,
+        }
         if parent:
             parent["kids"] += 1
             parent["tag_kids"][tag] = parent["tag_kids"].get(tag, 0) + 1
-        if tag in CARRIERS or (tag == "a" and "href" in a) or a.get("role") == "button":
-            for up in self.stack:
-                up["carries"] = True
+        self.carriers += tag in CARRIERS or (tag == "a" and "href" in a) or a.get("role") == "button"
+        row["carried"] = self.carriers
         self.rows.append(row)
-        if tag == "br" or tag in BLOCKS or tag in _P_ENDERS:
-            for up in self.stack:
-                up["text"].append("\n")
-        if tag not in VOID:
-            self.stack.append(row)
+        self.stack.append(row)
+        self.open[tag] += 1
+        self.machines += tag in MACHINE
+        if tag in VOID:
+            self._leave(len(self.stack) - 1)
+
+    def _table_of(self, tag: str, parent: dict | None) -> tuple[int, int] | None:
+        """For a table row, its table and the part of it: head, body, foot."""
+        part = {"thead": 0, "tfoot": 2}.get(parent["tag"], 1) if parent else 1
+        if parent and parent["tag"] in _PARTS:
+            parent = self.rows[parent["parent"]] if parent["parent"] >= 0 else None
+        return (parent["pos"], part) if tag == "tr" and parent and parent["tag"] == "table" else None
+
+    def _leave(self, depth: int) -> None:
+        """Close the open elements from `depth` on."""
+        for row in self.stack[depth:]:
+            row["exit"], row["text_to"], row["carries"] = len(self.rows), self.size, self.carriers > row["carried"]
+            self.open[row["tag"]] -= 1
+            self.machines -= row["tag"] in MACHINE
+        del self.stack[depth:]
 
     def handle_endtag(self, tag):
-        if any(r["tag"] == tag for r in self.stack):
-            while self.stack.pop()["tag"] != tag:
-                pass
+        if self.open[tag] > 0:
+            self._leave(next(d for d in range(len(self.stack) - 1, -1, -1) if self.stack[d]["tag"] == tag))
 
     def handle_data(self, data):
-        if not self.stack:
-            return
-        self.stack[-1]["runs"].append(data)
-        if not any(r["tag"] in MACHINE for r in self.stack):
-            for up in self.stack:
-                up["text"].append(data)
-        elif self.stack[-1]["tag"] in MACHINE:
-            self.stack[-1]["text"].append(data)
+        if self.stack:
+            self.stack[-1]["runs"].append(data)
+            if not self.machines:
+                self._write(data)
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
+        if not any(self.open[tag] > 0 for tag in tags):
+            return
+        found = None
         for depth in range(len(self.stack) - 1, -1, -1):
             name = self.stack[depth]["tag"]
             if name in tags:
-                del self.stack[depth:]
-                return
-            if name in stop:
-                return
-
-    def result(self) -> Iterator[dict]:
-        brief = lambda r: {
-            "pos": r["pos"], "tag": r["tag"], "role": r["attrs"].get("role", "").lower(),
-            "class": r["attrs"].get("class", ""), "id": r["attrs"].get("id", ""), "href": "href" in r["attrs"],
-            "itemscope": "itemscope" in r["attrs"],
-        }
-        for r in self.rows:
-            yield {
-                "pos": r["pos"], "parent": r["parent"], "tag": r["tag"], "attrs": r["attrs"],
-                "own_text": "".join(r["runs"]), "inner_text": "".join(r["text"]),
-                "ancestors": [brief(u) for u in reversed(r["up"])], "runs": r["runs"],
-                "child_index": r["child_index"], "carries": r["carries"], "tag_index": r["tag_index"],
-            }
-
+                found = depth
+            elif name in stop:
+                break
+        if found is not None:
+            self._leave(found)
+
+    def result(self, names: Sequence[str]) -> dict[str, list]:
+        self._leave(0)
+        tables: dict[int, list[tuple[int, int]]] = {}
+        for row in self.rows:
+            if row["table"]:
+                tables.setdefault(row["table"][0], []).append((row["table"][1], row["pos"]))
+        number = {pos: i for members in tables.values() for i, (_, pos) in enumerate(sorted(members))}
+        for row in self.rows:
+            parent = self.rows[row["parent"]] if row["parent"] >= 0 else None
+            row["parent_from"], row["parent_to"] = (parent["text_from"], parent["text_to"]) if parent else (0, 0)
+            row["page_text"] = None
+            if row["tag"] in ("td", "th") and parent:
+                row["table_row"] = number.get(parent["pos"], -1)
+        if self.rows:
+            self.rows[0]["page_text"] = b"".join(self.pieces)
+        return {name: [row[name] for row in self.rows] for name in names}
+
+
+def elements(pages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per element of each page: an interval of element numbers and a range of the page's text.
+
+    The first row of a page carries its text; `page_texts` and `inner_text` bring ranges back as text. `table_row` is a
+    cell's row in its table (heads before bodies before feet), or -1; `trail` names the nearest two elements around.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def elements(pages: DataFrame, keys: Sequence[str] = ("side", "path")) -> DataFrame:
-    """One row per element of each page, nearest ancestor first in `ancestors`."""
     keys = list(keys)
-    names = [part.split(" ")[0] for part in ELEMENTS_DDL.split(", ") if " " in part]
+    schema = pages.sparkSession.createDataFrame([], ELEMENTS_DDL).schema
+    names = schema.names
+    types = to_arrow_schema(schema)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for record in frame.to_dict("records"):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, page in enumerate(batch.column("html")):
                 parser = _Elements()
-                parser.feed(record["html"] or "")
+                parser.feed(page.as_py() or "")
                 parser.close()
-                out = pd.DataFrame(list(parser.result()), columns=names)
-                for key in keys:
-                    out[key] = record[key]
-                yield out[[*keys, *names]]
+                columns = parser.result(names)
+                columns["attrs"] = [list(a.items()) for a in columns["attrs"]]
+                owner = pa.array([i] * len(parser.rows), pa.int32())
+                made = [pa.array(columns[n], types.field(n).type) for n in names]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(owner) for k in keys], *made], names=[*keys, *names])
 
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     ddl = ", ".join([f"`{k}` {fields[k]}" for k in keys]) + ", " + ELEMENTS_DDL
-    return pages.select(*keys, "html").mapInPandas(scan, schema=ddl)
+    return pages.select(*keys, "html").mapInArrow(scan, schema=ddl)
 
 
-def _self_and_up() -> Column:
-    me = F.struct(
-        F.col("pos"), F.col("tag"), F.lower(F.coalesce(F.col("attrs")["role"], F.lit(""))).alias("role"),
-        F.coalesce(F.col("attrs")["class"], F.lit("")).alias("class"),
-        F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"),
-        F.map_contains_key("attrs", "href").alias("href"), F.map_contains_key("attrs", "itemscope").alias("itemscope"),
-    )
-    return F.concat(F.array(me), F.col("ancestors"))
+def own_text() -> Column:
+    return F.array_join("runs", "")
+
+
+def page_texts(raw: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The text of each page, from its first element; element rows refer to ranges of it."""
+    return raw.where(F.col("page_text").isNotNull()).select(*keys, F.col("page_text").alias("_page"))
+
+
+def inner_text(df: DataFrame, texts: DataFrame, keys: Sequence[str] = KEYS, low: str = "text_from", high: str = "text_to", out: str = "inner_text") -> DataFrame:
+    """Add the text between two places of the page. Machine-only elements have their own text only."""
+    part = F.substring(F.col("_page"), F.col(low) + 1, F.col(high) - F.col(low)).cast("string")
+    text = F.when(F.col("tag").isin(*MACHINE), own_text()).otherwise(F.coalesce(part, F.lit("")))
+    return df.join(texts, list(keys), "left").withColumn(out, text).drop("_page")
+
+
+def enclosing(df: DataFrame, marks: dict[str, Column], nearest: dict[str, Column] | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add `in_<mark>`: how many marked elements an element stands in, itself included; and values of the nearest one.
+
+    `nearest` names a mark and the value that its elements pass down; it is added as `near_<mark>`. Intervals nest, so
+    the marked elements around one are those that have begun less those that have ended, two running sums; and the last
+    one that began at that count is the nearest. Both are windows over one page.
+    """
+    keys, names, nearest = list(keys), list(marks), nearest or {}
+    flags = {n: F.coalesce(cond, F.lit(False)).cast("int") for n, cond in marks.items()}
+    whole = F.struct(*df.columns)
+    begun = df.select(*keys, F.col("pos").alias("_at"), F.lit(1).alias("_kind"), *[f.alias(f"_is_{n}") for n, f in flags.items()], whole.alias("_row"))
+    ends = begun.where(reduce(lambda x, y: x | y, [F.col(f"_is_{n}") == 1 for n in names]))
+    nothing = F.lit(None).cast(begun.schema["_row"].dataType)
+    ends = ends.select(*keys, F.col("_row.exit").alias("_at"), F.lit(0).alias("_kind"), *[(-F.col(f"_is_{n}")).alias(f"_is_{n}") for n in names], nothing.alias("_row"))
+    until = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = begun.unionByName(ends).withColumns({f"in_{n}": F.sum(f"_is_{n}").over(until) for n in names})
+    counted = counted.where("_kind = 1").select(*[F.col("_row")[c].alias(c) for c in df.columns], *[f"in_{n}" for n in names], *[F.col(f"_is_{n}") for n in nearest])
+    for name, value in nearest.items():
+        before = Window.partitionBy(*keys, f"in_{name}").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        passed = F.struct(value.alias("v"))
+        counted = counted.withColumn(f"near_{name}", F.last(F.when(F.col(f"_is_{name}") == 1, passed), True).over(before)["v"])
+    return counted.drop(*[f"_is_{n}" for n in nearest])
 
 
 def is_landmark() -> Column:
@@ -180,26 +253,50 @@ def region_from_identity(class_name: Column, element_id: Column) -> Column:
     return F.when(tokens != "", out.otherwise(F.lit(None)))
 
 
-def with_region(df: DataFrame, keys: Sequence[str] = ("side", "path")) -> DataFrame:
-    """Add `region` from the nearest landmark; class and id are consulted only on pages without any."""
+def in_role() -> Column:
+    return F.lower(F.coalesce(F.col("attrs")["role"], F.lit("")))
+
+
+def annotate(raw: DataFrame, ignore_selectors: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
+    """Add what stands around each element: `region`, `ignored`, the nearest card and scope, and counts of kinds.
+
+    The region is that of the nearest landmark; class and id are consulted only on pages without any. An element is
+    ignored inside machine-only content and inside an element that one of the selectors names.
+    """
     keys = list(keys)
-    marked = df.where(is_landmark()).select(*keys).distinct().withColumn("_landmarks", F.lit(True))
-    df = df.join(marked, keys, "left").withColumn("_chain", _self_and_up())
+    attr = lambda name: F.coalesce(F.col("attrs")[name], F.lit(""))
+    scope = F.map_contains_key("attrs", "itemscope")
+    card = scope | F.col("tag").isin("article", "li", "tr") | F.arrays_overlap(F.split(attr("class"), r"\s+"), F.array(F.lit("product"), F.lit("card")))
+    ignored = reduce(lambda x, y: x | y, [matches_selector(selector) for selector in ignore_selectors], F.col("tag").isin(*MACHINE))
+    marks = {
+        "section": F.col("tag").isin(*SECTIONING), "ignored": ignored, "block": F.col("tag").isin(*BLOCKS), "body": F.col("tag") == "body",
+        "link": (F.col("tag") == "a") & F.map_contains_key("attrs", "href"), "list": F.col("tag").isin("ul", "ol", "dl"), "card": card, "scope": scope,
+    }
+    ranges = F.struct(F.col("text_from").alias("low"), F.col("text_to").alias("high"))
+    df = enclosing(raw.drop("page_text"), marks, {"card": ranges, "scope": F.col("pos")}, keys)
+    landmarks = F.max(is_landmark()).over(Window.partitionBy(*keys))
     roles = F.create_map(*[F.lit(x) for kv in ROLE_REGIONS.items() for x in kv])
-    chain = F.col("_chain")
-
-    def region(node: Column, i: Column) -> Column:
-        above = F.slice(chain, i + 2, F.greatest(F.size(chain) - i - 1, F.lit(0)))
-        page_level = ~F.exists(above, lambda u: u["tag"].isin(*SECTIONING))
-        return (
-            F.when(node["role"].isin(*ROLE_REGIONS), F.element_at(roles, node["role"]))
-            .when(node["tag"].isin("nav", "aside", "main"), node["tag"])
-            .when(node["tag"].isin("header", "footer") & page_level, node["tag"])
-            .when(F.col("_landmarks").isNull(), region_from_identity(node["class"], node["id"]))
-        )
+    page_level = F.col("in_section") == F.col("tag").isin(*SECTIONING).cast("int")
+    own = (
+        F.when(in_role().isin(*ROLE_REGIONS), F.element_at(roles, in_role()))
+        .when(F.col("tag").isin("nav", "aside", "main"), F.col("tag"))
+        .when(F.col("tag").isin("header", "footer") & page_level, F.col("tag"))
+        .when(~F.col("_landmarks"), region_from_identity(attr("class"), attr("id")))
+    )
+    df = df.withColumn("_landmarks", landmarks).withColumn("_region", F.when(F.col("tag") != "html", own))
+    df = enclosing(df, {"region": F.col("_region").isNotNull()}, {"region": F.col("_region")}, keys)
+    above = lambda n, own: (F.col(f"in_{n}") > F.when(own, 1).otherwise(0))
+    return df.withColumns(
+        {
+            "region": F.coalesce("near_region", F.lit("other")), "ignored": F.col("in_ignored") > 0, "lists": F.col("in_list") - F.col("tag").isin("ul", "ol", "dl").cast("int"),
+            "in_blocks": above("block", F.col("tag").isin(*BLOCKS)), "in_link": F.col("in_link") > 0, "in_body": above("body", F.col("tag") == "body"),
+        }
+    ).drop("in_section", "in_ignored", "in_block", "in_list", "in_card", "in_scope", "in_region", "near_region", "_landmarks", "_region")
 
-    found = F.array_compact(F.transform(F.filter(chain, lambda n: n["tag"] != "html"), region))
-    return df.withColumn("region", F.coalesce(F.get(found, F.lit(0)), F.lit("other"))).drop("_chain", "_landmarks")
+
+def kept(annotated: DataFrame) -> DataFrame:
+    """Elements outside machine-only content and outside what is to be ignored."""
+    return annotated.where(~F.col("ignored"))
 
 
 def matches_selector(selector: str) -> Column:
@@ -219,23 +316,6 @@ def matches_selector(selector: str) -> Column:
     return cond
 
 
-def without_ignored(df: DataFrame, ignore_selectors: Sequence[str] = (), keys: Sequence[str] = ("side", "path")) -> DataFrame:
-    """Drop machine-only content and everything inside an ignored element."""
-    inside = F.exists(_self_and_up(), lambda n: n["tag"].isin(*MACHINE))
-    df = df.where(~inside)
-    if ignore_selectors:
-        cond = F.lit(False)
-        for selector in ignore_selectors:
-            cond = cond | matches_selector(selector)
-        roots = df.where(cond).select(*keys, F.col("pos").alias("_root")).distinct()
-        hidden = (
-            df.select(*keys, "pos", F.explode(F.transform(_self_and_up(), lambda n: n["pos"])).alias("_root"))
-            .join(roots, [*keys, "_root"], "left_semi").select(*keys, "pos").distinct()
-        )
-        df = df.join(hidden, [*keys, "pos"], "left_anti")
-    return df
-
-
 def is_visible() -> Column:
     style = F.lower(F.regexp_replace(F.coalesce(F.col("attrs")["style"], F.lit("")), r"\s+", ""))
     hidden = F.map_contains_key("attrs", "hidden") | style.rlike("display:none|visibility:hidden|(^|;)opacity:0(;|$)")
@@ -244,7 +324,8 @@ def is_visible() -> Column:
 
 def selector_hint() -> Column:
     """Up to three levels, nearest last, stopping at an id, with at most two classes each."""
-    chain = F.filter(_self_and_up(), lambda n: ~n["tag"].isin("body", "html"))
+    me = F.struct(F.col("tag"), F.coalesce(F.col("attrs")["class"], F.lit("")).alias("class"), F.coalesce(F.col("attrs")["id"], F.lit("")).alias("id"))
+    chain = F.when(F.col("tag").isin("body", "html"), F.array().cast(f"array<{_BRIEF}>")).otherwise(F.concat(F.array(me), F.col("trail")))
     near = F.slice(chain, 1, 3)
     with_id = F.filter(F.transform(near, lambda n, i: F.when(n["id"] != "", i)), lambda i: i.isNotNull())
     cut = F.when(F.size(with_id) > 0, F.slice(near, F.lit(1), F.get(with_id, F.lit(0)) + 1)).otherwise(near)
@@ -259,9 +340,8 @@ def selector_hint() -> Column:
 
 def is_block() -> Column:
     """Text-bearing block that is not nested in another and does more than wrap a link or image."""
-    nested = F.exists("ancestors", lambda a: a["tag"].isin(*BLOCKS))
-    wrapper = (F.trim(collapse_space(F.col("own_text"))) == "") & F.col("carries")
-    return F.col("tag").isin(*BLOCKS) & ~nested & ~wrapper
+    wrapper = (F.trim(collapse_space(own_text())) == "") & F.col("carries")
+    return F.col("tag").isin(*BLOCKS) & ~F.col("in_blocks") & ~wrapper
 
 
 def block_kind() -> Column:
@@ -273,67 +353,50 @@ def block_kind() -> Column:
     )
 
 
-def with_captured(df: DataFrame) -> DataFrame:
-    """Add `captured`: block, generic or NULL.
+def with_captured(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The elements that bear content, with `captured`: block or generic.
 
-    An element inside a captured one adds nothing. Whether an ancestor was captured follows
-    from the ancestor's own row, so the rule is evaluated on rows that know their ancestors'
-    text: blocks first, generic elements then by a join on the nearest text-bearing ancestors.
+    Blocks are taken first; other elements with text of their own only if no element around them is taken.
     """
-    keys = ["side", "path"]
-    block = is_block()
-    own = collapse_space(F.col("own_text")) != ""
-    in_link = F.exists(_self_and_up(), lambda n: (n["tag"] == "a") & n["href"])
-    candidate = ~block & own & ~F.col("tag").isin(*SKIP_GENERIC) & ~in_link
-    in_body = F.exists("ancestors", lambda a: a["tag"] == "body")
-    df = df.withColumns({"_block": block, "_generic": candidate & in_body})
-    marks = df.where(F.col("_block") | F.col("_generic"))
-    # The outermost marked element of a nest is the captured one.
-    marked = marks.select(*keys, F.col("pos").alias("_a")).distinct()
-    inner = (
-        marks.where(F.size("ancestors") > 0)
-        .select(*keys, "pos", F.explode(F.transform("ancestors", lambda a: a["pos"])).alias("_a"))
-        .join(marked, [*keys, "_a"], "left_semi").select(*keys, "pos").distinct()
-    )
-    outer = marks.join(inner, [*keys, "pos"], "left_anti")
-    # A block stands even inside a captured generic element: blocks are taken first.
-    blocks = marks.where("_block").withColumn("captured", F.lit("block"))
-    generic = outer.where("_generic").withColumn("captured", F.lit("generic"))
-    return blocks.unionByName(generic).drop("_block", "_generic")
+    own = collapse_space(own_text()) != ""
+    generic = own & ~F.col("tag").isin(*SKIP_GENERIC) & ~F.col("in_link") & F.col("in_body")
+    df = df.withColumn("_block", is_block())
+    marks = enclosing(df.where(F.col("_block") | generic), {"taken": F.lit(True)}, keys=keys)
+    captured = F.when(F.col("_block"), F.lit("block")).when(F.col("in_taken") == 1, F.lit("generic"))
+    return marks.withColumn("captured", captured).where(F.col("captured").isNotNull()).drop("_block", "in_taken")
 
 
-def raw_nodes(df: DataFrame) -> DataFrame:
-    """Content elements in reading passes: blocks, generic text, links, images; `pos` orders them."""
-    keys = ["side", "path"]
+def raw_nodes(df: DataFrame, texts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Content elements in reading passes: blocks, generic text, links, images; `pos` orders them.
+
+    `df` is what `annotate` returns, without what is to be ignored; `texts` is `page_texts` of the scanned elements.
+    """
+    keys = list(keys)
     common = [*keys, "region", selector_hint().alias("selector_hint"), is_visible().alias("visible")]
     int_or = lambda name, default: F.coalesce(F.col("attrs")[name].try_cast("int"), F.lit(default))
     none = lambda kind: F.lit(None).cast(kind)
     order = lambda run: (F.lit(run).cast("bigint") * F.lit(1 << 30) + F.col("pos")).alias("pos")
-    captured = with_captured(df)
-    kind = F.when(F.col("captured") == "block", block_kind()).when(
+    anchor = (F.col("tag") == "a") & F.map_contains_key("attrs", "href")
+    links = df.where(anchor).withColumn("captured", F.lit("link"))
+    captured = inner_text(with_captured(df, keys).unionByName(links), texts, keys)
+    kind = F.when(F.col("captured") == "block", block_kind()).when(F.col("captured") == "link", F.lit("link")).when(
         F.col("tag").isin(*CONTROLS) | (F.lower(F.coalesce(F.col("attrs")["role"], F.lit(""))) == "button"),
         F.lit("control"),
     ).otherwise(F.lit("paragraph"))
-    block = F.col("captured") == "block"
-    lists = F.size(F.filter("ancestors", lambda a: a["tag"].isin("ul", "ol", "dl")))
-    texts = captured.select(
-        *common, F.when(block, order(0)).otherwise(order(1)).alias("pos"), kind.alias("kind"),
-        F.when(block, F.col("inner_text")).otherwise(F.col("own_text")).alias("text"),
+    block, link = F.col("captured") == "block", F.col("captured") == "link"
+    label = F.trim(F.col("inner_text"))
+    found = captured.select(
+        *common, F.when(block, order(0)).when(link, order(2)).otherwise(order(1)).alias("pos"), kind.alias("kind"),
+        F.when(block, F.col("inner_text"))
+        .when(link & (label != ""), label).when(link, F.coalesce(F.col("attrs")["aria-label"], F.lit("")))
+        .otherwise(own_text()).alias("text"),
         F.when(block & F.col("tag").isin(*HEADINGS), F.substring("tag", 2, 1).cast("int")).alias("level"),
-        none("string").alias("href"), none("string").alias("src"), none("string").alias("alt"),
+        F.when(link, F.col("attrs")["href"]).alias("href"), none("string").alias("src"), none("string").alias("alt"),
         none("int").alias("natural_width"), none("int").alias("natural_height"),
-        F.when(block & (kind == "listItem"), lists).alias("depth"),
-        none("int").alias("row"),
+        F.when(block & (kind == "listItem"), F.col("lists").cast("int")).alias("depth"),
+        F.when(block & (kind == "tableCell"), F.col("table_row")).alias("row"),
         F.when(block & (kind == "tableCell"), F.col("child_index")).alias("col"),
     )
-    label = F.trim(F.col("inner_text"))
-    anchors = df.where((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).select(
-        *common, order(2), F.lit("link").alias("kind"),
-        F.when(label != "", label).otherwise(F.coalesce(F.col("attrs")["aria-label"], F.lit(""))).alias("text"),
-        none("int").alias("level"), F.col("attrs")["href"].alias("href"), none("string").alias("src"),
-        none("string").alias("alt"), none("int").alias("natural_width"), none("int").alias("natural_height"),
-        none("int").alias("depth"), none("int").alias("row"), none("int").alias("col"),
-    )
     pictures = df.where(F.col("tag") == "img").select(
         *common, order(3), F.lit("image").alias("kind"), F.coalesce(F.col("attrs")["alt"], F.lit("")).alias("text"),
         none("int").alias("level"), none("string").alias("href"),
@@ -341,12 +404,12 @@ def raw_nodes(df: DataFrame) -> DataFrame:
         int_or("width", 0).alias("natural_width"), int_or("height", 0).alias("natural_height"),
         none("int").alias("depth"), none("int").alias("row"), none("int").alias("col"),
     )
-    return texts.unionByName(anchors).unionByName(pictures)
+    return found.unionByName(pictures)
 
 
-def link_records(df: DataFrame, page_urls: DataFrame, allowed_origins: Sequence[str]) -> DataFrame:
+def link_records(df: DataFrame, texts: DataFrame, page_urls: DataFrame, allowed_origins: Sequence[str]) -> DataFrame:
     """Links of each page: resolved, classified, one row per href and region; visible if any is."""
-    anchors = df.where((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).select(
+    anchors = inner_text(df.where((F.col("tag") == "a") & F.map_contains_key("attrs", "href")), texts).select(
         "side", "path", "pos", F.col("attrs")["href"].alias("href"), collapse_space(F.col("inner_text")).alias("text"),
         "region", is_visible().alias("visible"),
     )
@@ -387,7 +450,7 @@ def image_rows(df: DataFrame) -> DataFrame:
     return shown.unionByName(backdrop)
 
 
-def page_meta(df: DataFrame) -> DataFrame:
+def page_meta(df: DataFrame, texts: DataFrame) -> DataFrame:
     """Title, description, canonical, robots, lang and social fields of each page; first one wins."""
     attr = lambda name: F.col("attrs")[name]
     field = (
@@ -406,25 +469,20 @@ def page_meta(df: DataFrame) -> DataFrame:
             F.struct(F.regexp_replace(attr("property"), ":", "_").alias("k"), F.trim(attr("content")).alias("v")),
         )
     )
+    df = inner_text(df.where(F.col("tag").isin("title", "html", "link", "meta")), texts)
     rows = df.select("side", "path", "pos", field.alias("f")).where(F.col("f").isNotNull())
     names = ["title", "description", "canonical", "robots", "lang", "og_title", "og_description", "og_image"]
     pick = lambda n: F.min_by(F.when(F.col("f.k") == n, F.col("f.v")), F.when(F.col("f.k") == n, F.col("pos")))
     return rows.groupBy("side", "path").agg(*[pick(n).alias(n) for n in names])
 
 
-def price_context(df: DataFrame) -> DataFrame:
-    """Add `context`: text of the nearest card-like ancestor, else of the parent, in full."""
-    keys = ["side", "path"]
-    card = lambda n: (
-        n["itemscope"] | n["tag"].isin("article", "li", "tr")
-        | F.arrays_overlap(F.split(n["class"], r"\s+"), F.array(F.lit("product"), F.lit("card")))
-    )
-    near = F.get(F.filter(_self_and_up(), card), F.lit(0))["pos"]
-    holder = F.coalesce(near, F.col("parent"))
-    texts = df.select(*keys, F.col("pos").alias("_holder"), F.col("inner_text").alias("_card"))
-    joined = df.withColumn("_holder", holder).join(texts, [*keys, "_holder"], "left")
-    short = F.regexp_replace(F.trim(F.coalesce(F.col("_card"), F.lit(""))), r"\s+", " ")
-    return joined.withColumn("context", short).drop("_holder", "_card")
+def price_context(df: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add `context`: text of the nearest card-like element around, else of the parent, in full."""
+    near = F.col("near_card")
+    df = df.withColumns({"_low": F.coalesce(near["low"], F.col("parent_from")), "_high": F.coalesce(near["high"], F.col("parent_to"))})
+    part = F.substring(F.col("_page"), F.col("_low") + 1, F.col("_high") - F.col("_low")).cast("string")
+    short = F.regexp_replace(F.trim(F.coalesce(part, F.lit(""))), r"\s+", " ")
+    return df.join(texts, list(KEYS), "left").withColumn("context", short).drop("_page", "_low", "_high")
 
 
 def _place(sub: Column | int, source: str) -> Column:
@@ -442,7 +500,7 @@ def _structured_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             try:
                 # Numbers stay as they are written.
                 stack = [json.loads(text or "", parse_float=str, parse_int=str)]
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             sub = 0
             while stack:
@@ -465,11 +523,11 @@ def _structured_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def json_ld_prices(raw: DataFrame) -> DataFrame:
     """Prices in structured data blocks: texts and numbers of objects at any depth.
 
-    The blocks are read once; a block that is no JSON gives no row.
+    The blocks are read once; a block that is no JSON, or nests beyond what the reader follows, gives no row.
     """
     scripts = raw.where(
         (F.col("tag") == "script") & (F.lower(F.coalesce(F.col("attrs")["type"], F.lit(""))) == "application/ld+json")
-    ).select("side", "path", "pos", "own_text")
+    ).select("side", "path", "pos", own_text().alias("own_text"))
     kinds = {f.name: f.dataType.simpleString() for f in scripts.schema}
     schema = f"side {kinds['side']}, path {kinds['path']}, pos {kinds['pos']}, sub int, raw string, context string, hint string"
     found = scripts.mapInArrow(_structured_prices, schema)
@@ -479,21 +537,22 @@ def json_ld_prices(raw: DataFrame) -> DataFrame:
     )
 
 
-def marked_prices(df: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
+def marked_prices(df: DataFrame, texts: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
     """Microdata prices with the currency of their scope, and prices under configured selectors."""
-    keys = ["side", "path"]
-    here = price_context(df)
+    keys = list(KEYS)
     content = F.trim(F.coalesce(F.col("attrs")["content"], F.col("inner_text")))
     prop = F.col("attrs")["itemprop"]
-    scope = F.get(F.filter(_self_and_up(), lambda n: n["itemscope"]), F.lit(0))["pos"]
-    currencies = (
-        df.where(prop == "priceCurrency")
-        .select(*keys, "pos", content.alias("hint"), F.explode(F.filter("ancestors", lambda a: a["itemscope"])).alias("s"))
-        .groupBy(*keys, F.col("s.pos").alias("_scope")).agg(F.min_by("hint", "pos").alias("hint"))
-    )
-    micro = here.where((prop == "price") & (content != "")).withColumn("_scope", scope)
+    chosen = reduce(lambda x, y: x | y, [matches_selector(selector) for selector in selectors], prop.isin("price", "priceCurrency"))
+    here = price_context(inner_text(df.where(chosen), texts), texts)
+    # The currency of a scope is the first one that begins inside it.
+    named = here.where(prop == "priceCurrency").select(*keys, "pos", F.lit(0).alias("exit"), F.struct("pos", content.alias("hint")).alias("_said"))
+    scopes = df.where(F.map_contains_key("attrs", "itemscope")).select(*keys, "pos", "exit", F.lit(None).cast(named.schema["_said"].dataType).alias("_said"))
+    after = Window.partitionBy(*keys).orderBy("pos", F.col("_said").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    said = named.unionByName(scopes).withColumn("_next", F.first("_said", True).over(after)).where(F.col("_said").isNull())
+    currencies = said.where(F.col("_next.pos") < F.col("exit")).select(*keys, F.col("pos").alias("near_scope"), F.col("_next.hint").alias("hint"))
+    micro = here.where((prop == "price") & (content != ""))
     columns = [*keys, _place(0, "microdata").alias("pos"), content.alias("raw")]
-    rows = micro.join(currencies, [*keys, "_scope"], "left").select(
+    rows = micro.join(currencies, [*keys, "near_scope"], "left").select(
         *columns, F.lit("microdata").alias("source"), "region", "context", "hint"
     )
     for number, selector in enumerate(selectors):
@@ -507,11 +566,10 @@ def marked_prices(df: DataFrame, selectors: Sequence[str] = ()) -> DataFrame:
     return rows
 
 
-def text_prices(df: DataFrame) -> DataFrame:
+def text_prices(df: DataFrame, texts: DataFrame) -> DataFrame:
     """Currency-looking runs in every text node."""
-    here = price_context(df)
-    found = F.flatten(F.transform("runs", scan_currency))
-    rows = here.select("side", "path", "pos", "region", "context", F.posexplode(found).alias("sub", "raw"))
+    found = df.withColumn("_hits", F.flatten(F.transform("runs", scan_currency))).where(F.size("_hits") > 0)
+    rows = price_context(found, texts).select("side", "path", "pos", "region", "context", F.posexplode("_hits").alias("sub", "raw"))
     return rows.select(
         "side", "path", _place(F.col("sub"), "text").alias("pos"), "raw", F.lit("text").alias("source"),
         "region", "context", F.lit(None).cast("string").alias("hint"),

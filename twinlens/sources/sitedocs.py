@@ -13,19 +13,33 @@ _LOC = r"(?s)<(?:[A-Za-z0-9_]+:)?loc[^>]*>\s*(.*?)\s*</(?:[A-Za-z0-9_]+:)?loc>"
 _BLOCK = r"(?s)<(?:[A-Za-z0-9_]+:)?{tag}(?:\s[^>]*)?>.*?</(?:[A-Za-z0-9_]+:)?{tag}>"
 
 
+_LISTED = "url array<struct<loc:string>>, sitemap array<struct<loc:string>>"
+_PARSED = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "broken"}
+
+
+def _loose_text(block: Column) -> Column:
+    """The `loc` of one entry of a document that is no XML: alone it may be XML, else its markup is taken off."""
+    found = F.regexp_extract(block, _LOC, 1)
+    alone = F.from_xml(F.concat(F.lit("<url><loc>"), found, F.lit("</loc></url>")), "loc string", _PARSED)["loc"]
+    text = F.regexp_replace(found, r"^<!\[CDATA\[(.*)\]\]>$", "$1")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.coalesce(alone, text)
+
+
 def _locations(documents: DataFrame, tag: str) -> DataFrame:
     """`loc` of each entry, any namespace prefix, in document order.
 
-    Regular expressions instead of an XML parser: a malformed document yields what it holds
-    rather than failing the job, and one document is one row.
+    Documents are read as XML, so references, CDATA and comments mean what they should. One that is no XML yields what
+    it holds, entry by entry, rather than failing the job. One document is one row.
     """
-    body = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
-    blocks = F.regexp_extract_all(body, F.lit(_BLOCK.format(tag=tag)), F.lit(0))
-    loc = lambda b: F.regexp_replace(F.regexp_extract(b, _LOC, 1), r"^<!\[CDATA\[(.*)\]\]>$", "$1")
-    text = lambda b: F.regexp_replace(F.trim(loc(b)), "&amp;", "&")
-    rows = documents.where(F.col("kind") == "sitemap").select(
-        "host", "doc_url", F.posexplode(F.transform(blocks, text)).alias("pos", "loc")
-    )
+    parsed = F.from_xml(F.col("body"), f"{_LISTED}, broken string", _PARSED)
+    bare = F.regexp_replace("body", r"(?s)<!--.*?-->", "")
+    blocks = F.regexp_extract_all(bare, F.lit(_BLOCK.format(tag=tag)), F.lit(0))
+    rows = documents.where(F.col("kind") == "sitemap").select("host", "doc_url", parsed.alias("_xml"), blocks.alias("_blocks"))
+    whole = F.col("_xml").isNotNull() & F.col("_xml.broken").isNull()
+    listed = F.when(whole, F.transform(F.col(f"_xml.{tag}"), lambda entry: entry["loc"])).otherwise(F.transform("_blocks", _loose_text))
+    rows = rows.select("host", "doc_url", F.posexplode(listed).alias("pos", "loc")).withColumn("loc", F.trim(F.regexp_replace("loc", r"^\s+|\s+$", "")))
     return rows.where(F.col("loc") != "")
 
 
