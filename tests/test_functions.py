@@ -164,3 +164,18 @@ def test_value_extraction_matches_sequential_claiming(spark):
 def test_value_changes(spark, a, b, classes):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(values.value_changes(F.col("a"), F.col("b")).alias("c"))
     assert [c["class"] for c in df.first().c] == classes
+
+
+def test_values_of_a_long_text_take_time_in_proportion():
+    """A text of a MB with a value at every word; copies and order are kept."""
+    text = "pay $5 on 2024-01-05 or 7 days not 99 " * 27_000
+    found = values.claim_values(text)
+    assert len(text) > 1_000_000
+    assert {k: len(v) for k, v in found.items()} == {k: 0 if k == "contact" else 27_000 for k in values.PATTERNS}
+    assert len(values.minus(found["number"], found["number"][1:])) == 1
+
+
+def test_differences_count_copies(spark):
+    rows = [(["a", "a", "b"], ["a"]), (["a"], ["a", "a"]), ([], ["x"]), (None, ["x"]), (["x", "y", "y", "z"], ["y", "q"])]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<string>, b array<string>").select("i", values.multiset_minus(F.col("a"), F.col("b")).alias("m"))
+    assert {r.i: r.m for r in got.collect()} == {0: ["a", "b"], 1: [], 2: [], 3: None, 4: ["x", "y", "z"]}

@@ -52,15 +52,36 @@ def test_offer_decisions_match_sequential_ones(spark, offers):
 
 
 def test_stream_decides_like_batch(spark, offers, tmp_path):
-    from twinlens.streaming.intake import decide_stream, run_available
+    from twinlens.streaming.intake import decide_stream
 
     df = spark.createDataFrame(offers, "seq bigint, c_href string, depth int").withColumn("side", F.lit("source"))
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    rows = run_available(decide_stream(stream, 2), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    for part in range(3):  # files are read by age, one a batch
+        df.where(f"seq div 27 = {part}").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    rows = decide_stream(stream, 2, f"{tmp_path}/out", f"{tmp_path}/state").collect()
     assert {r.seq: r.decision for r in rows} == sequential_verdicts(offers, 2)
 
 
+def test_captures_in_batches_own_what_the_whole_table_owns(spark, tmp_path, monkeypatch):
+    from twinlens.streaming import intake as streaming
+
+    monkeypatch.setattr(streaming, "COMPACT_EVERY", 2)
+    rng = random.Random(8)
+    rows = [(i, f"h{rng.randrange(9)}", rng.choice([None, f"h{rng.randrange(9)}"]), rng.choice([None, "x", "x", "y", "z"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq bigint, href string, final_href string, content_hash string").withColumn("side", F.lit("source"))
+    place = f"{tmp_path}/in"
+    got = {}
+    for part in range(4):
+        df.where(f"seq div 15 = {part}").write.parquet(f"{place}/{part}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(place)
+        got = streaming.capture_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    outcomes = {r.seq: r.outcome for r in intake.redirect_aliases(df).collect()}
+    aliases = {r.seq: r.alias_of for r in intake.content_aliases(df.where("content_hash IS NOT NULL")).collect()}
+    assert len(got) == 60
+    assert {r.seq: r.outcome for r in got if r.outcome} == outcomes
+    assert {r.seq: r.alias_of for r in got if r.alias_of} == aliases
+
+
 def test_reject_reasons_in_order(spark):
     from twinlens.config import IntakeRules
 

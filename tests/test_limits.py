@@ -72,7 +72,7 @@ def test_finding_ids_are_whole_digests(spark):
 
 
 def test_many_offers_of_one_address_are_decided_in_order_of_arrival(spark, tmp_path):
-    from twinlens.streaming.intake import decide_stream, run_available
+    from twinlens.streaming.intake import decide_stream
 
     made = random.Random(4)
     offers = [(i, "https://h/hot", 1 + int(40 * (1 - i / 30_000)) + made.randrange(3)) for i in range(30_000)]
@@ -81,22 +81,24 @@ def test_many_offers_of_one_address_are_decided_in_order_of_arrival(spark, tmp_p
     df = spark.createDataFrame(shuffled, "seq bigint, c_href string, depth int").withColumn("side", F.lit("source"))
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    rows = run_available(decide_stream(stream, 20), f"{tmp_path}/out", f"{tmp_path}/state").collect()
+    rows = decide_stream(stream, 20, f"{tmp_path}/out", f"{tmp_path}/state").collect()
     assert {r.seq: r.decision for r in rows} == sequential_verdicts(offers, 20)
 
 
-def test_first_page_of_a_content_is_the_earliest_of_the_batch(spark, tmp_path):
-    from twinlens.streaming.intake import alias_stream, run_available
+def test_a_million_captures_of_one_content_have_one_owner(spark, tmp_path):
+    from twinlens.streaming.intake import capture_stream
 
-    made = random.Random(5)
-    rows = [(i, f"https://h/{i}") for i in range(12_000)]
-    made.shuffle(rows)
-    df = spark.createDataFrame(rows, "seq bigint, href string").withColumns({"side": F.lit("source"), "content_hash": F.lit("x")})
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    n = 1_000_000
+    href = F.concat(F.lit("https://h/"), F.col("id").cast("string"))
+    df = spark.range(n, numPartitions=4).select(
+        F.lit("source").alias("side"), F.col("id").alias("seq"), href.alias("href"), F.lit("https://h/7").alias("final_href"), F.lit("x").alias("content_hash")
+    ).orderBy(F.desc("seq"))
+    df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    got = run_available(alias_stream(stream), f"{tmp_path}/out", f"{tmp_path}/state")
-    assert got.count() == 12_000
-    assert [tuple(r) for r in got.groupBy("alias_of").count().orderBy("count").collect()] == [(None, 1), ("https://h/0", 11_999)]
+    got = capture_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+    counted = {tuple(r)[:2]: r["n"] for r in got.groupBy("outcome", "alias_of").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Page 0 lands first, page 7 is the address itself.
+    assert counted == {("claims", None): 1, (None, "https://h/0"): 1, ("alias", "https://h/0"): n - 2}
 
 
 def test_no_intermediate_table_outlives_the_run(spark):

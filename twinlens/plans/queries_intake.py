@@ -666,7 +666,7 @@ def stream_offers(t: Tables):
     admitted.write.parquet(place)
     stream = t.spark.readStream.schema(admitted.schema).parquet(place)
     out, check = scratch(t, "decided"), scratch(t, "decided-state")
-    return streaming.run_available(streaming.decide_stream(stream, _RULES.max_depth), out, check).select("seq", "decision")
+    return streaming.decide_stream(stream, _RULES.max_depth, out, check).select("seq", "decision")
 
 
 @query(
@@ -675,7 +675,23 @@ def stream_offers(t: Tables):
     "(PARTITION BY sha1(html) ORDER BY page_id) THEN first_value(url) OVER (PARTITION BY sha1(html) ORDER BY page_id) END AS alias_of FROM pages",
 )
 def stream_content_aliases(t: Tables):
-    stream = streaming.pages_as_offers(t.spark, t.dir, t.pages.schema)
-    out, check = scratch(t, "aliases"), scratch(t, "aliases-state")
-    rows = streaming.run_available(streaming.alias_stream(stream), out, check)
+    stream = streaming.pages_as_captures(t.spark, t.dir, t.pages.schema)
+    rows = streaming.capture_stream(stream, scratch(t, "aliases"), scratch(t, "aliases-state"))
     return rows.select("seq", "href", F.coalesce("alias_of", "href").alias("f"), "alias_of")
+
+
+@query(
+    "stream_redirects", "N1",
+    f"WITH {_ALIAS} SELECT c.seq, c.href, CASE WHEN c.href = c.final_href THEN NULL WHEN EXISTS (SELECT 1 FROM cap e WHERE e.seq < c.seq AND (e.href = c.final_href "
+    "OR (e.final_href = c.final_href AND e.href <> e.final_href))) THEN 'alias' ELSE 'claims' END AS outcome, alias_of FROM cap c LEFT JOIN al ON al.seq = c.seq", "canon",
+)
+def stream_redirects(t: Tables):
+    """Captures that arrive in four batches: redirect and content aliases equal those of the whole table."""
+    captures, place = _captures(t), scratch(t, "captures")
+    ends = captures.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75]).alias("e")).first()["e"]
+    for low, high in zip([None, *ends], [*ends, None]):
+        # A file a batch, read by age.
+        after = F.lit(True) if low is None else F.col("seq") > low
+        captures.where(after & (F.lit(True) if high is None else F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(place)
+    stream = t.spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    return streaming.capture_stream(stream, scratch(t, "redirects"), scratch(t, "redirects-state")).select("seq", "href", "outcome", "alias_of")

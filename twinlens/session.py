@@ -70,6 +70,15 @@ def is_folder(spark: SparkSession, place: str) -> bool:
     return system.getFileStatus(path).isDirectory()
 
 
+def child_names(spark: SparkSession, place: str) -> list[int]:
+    """The numbers that name the folders in a place, in order; none if the place is not there."""
+    system, path = _file_system(spark, place)
+    if not system.exists(path):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    return sorted(int(name) for name in names if name.isdigit())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the run's folder, not yet there."""
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
