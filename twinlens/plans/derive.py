@@ -20,7 +20,7 @@ from twinlens.functions.urls import canonicalize
 from twinlens.operators.content import assemble_nodes
 from twinlens.operators.findings import CATEGORIES, COLUMNS, finding_id
 from twinlens.operators.styles import overflows
-from twinlens.session import cut_lineage
+from twinlens.session import cut_lineage, spread
 from twinlens.sources.html import annotate, elements, kept, resolve_links
 from twinlens.sources.snapshots import path_slug
 
@@ -309,11 +309,7 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         if name not in self._loaded:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            # Text tables are read as they lie, unless the session asks for a number of pieces.
-            pieces = self.spark.conf.get("spark.twinlens.textPieces", None)
-            if name in TEXT_TABLES and pieces:
-                df = df.repartition(int(pieces))
-            self._loaded[name] = df
+            self._loaded[name] = spread(df) if name in TEXT_TABLES else df
         return self._loaded[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -523,9 +519,7 @@ class Tables:
     @cached_property
     def elements(self) -> DataFrame:
         """Element rows of the pages: parsed once, read by every extraction rule."""
-        # One file of pages is one task unless its rows are dealt out; scanning costs far more than moving them.
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return cut_lineage(elements(self.page_html.repartition(tasks)))
+        return cut_lineage(elements(self.page_html))
 
     @cached_property
     def annotated(self) -> DataFrame:

@@ -532,7 +532,7 @@ _HEAD = (
 def extract_meta(t: Tables):
     """Pages with a written head: of two descriptions the first one counts."""
     full = t.page_html.join(t.pages.select("page_id", "url"), "page_id").withColumn("html", F.replace("html", F.lit("</head>"), F.expr(_HEAD)))
-    raw = cut_lineage(html.elements(full.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))))
+    raw = cut_lineage(html.elements(full))
     return html.page_meta(raw, html.page_texts(raw)).drop("side")
 
 

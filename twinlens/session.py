@@ -79,6 +79,17 @@ def child_names(spark: SparkSession, place: str) -> list[int]:
     return sorted(int(name) for name in names if name.isdigit())
 
 
+def spread(df: DataFrame, task_bytes: int = 128 << 20) -> DataFrame:
+    """A table of fewer bytes than its tasks could hold, dealt to all of them; a larger one as it lies.
+
+    A file of one row group is one task, however many bytes of text are worked through for each one read. Tables beyond
+    `task_bytes` a task have row groups enough, and are not shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(tasks) if size < tasks * task_bytes else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the run's folder, not yet there."""
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -219,15 +219,21 @@ def enclosing(df: DataFrame, marks: dict[str, Column], nearest: dict[str, Column
     one that began at that count is the nearest. Both are windows over one page.
     """
     keys, names, nearest = list(keys), list(marks), nearest or {}
-    flags = {n: F.coalesce(cond, F.lit(False)).cast("int") for n, cond in marks.items()}
-    whole = F.struct(*df.columns)
-    begun = df.select(*keys, F.col("pos").alias("_at"), F.lit(1).alias("_kind"), *[f.alias(f"_is_{n}") for n, f in flags.items()], whole.alias("_row"))
-    ends = begun.where(reduce(lambda x, y: x | y, [F.col(f"_is_{n}") == 1 for n in names]))
-    nothing = F.lit(None).cast(begun.schema["_row"].dataType)
-    ends = ends.select(*keys, F.col("_row.exit").alias("_at"), F.lit(0).alias("_kind"), *[(-F.col(f"_is_{n}")).alias(f"_is_{n}") for n in names], nothing.alias("_row"))
-    until = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = begun.unionByName(ends).withColumns({f"in_{n}": F.sum(f"_is_{n}").over(until) for n in names})
-    counted = counted.where("_kind = 1").select(*[F.col("_row")[c].alias(c) for c in df.columns], *[f"in_{n}" for n in names], *[F.col(f"_is_{n}") for n in nearest])
+    rest = [c for c in df.columns if c not in keys]
+    flagged = df.withColumns({f"_is_{n}": F.coalesce(cond, F.lit(False)).cast("int") for n, cond in marks.items()})
+    # A marked element also has an event at its end, one that comes before an element that begins there.
+    event = lambda at, kind: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"))
+    marked = reduce(lambda x, y: x | y, [F.col(f"_is_{n}") == 1 for n in names])
+    events = flagged.withColumn("_event", F.explode(F.when(marked, F.array(event("pos", 1), event("exit", 0))).otherwise(F.array(event("pos", 1)))))
+    begins = F.col("_event.kind") == 1
+    events = events.select(
+        *keys, "_event", F.when(begins, F.struct(*rest)).alias("_row"), *[F.when(begins, F.col(f"_is_{n}")).otherwise(-F.col(f"_is_{n}")).alias(f"_is_{n}") for n in names]
+    )
+    until = Window.partitionBy(*keys).orderBy("_event").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumns({f"in_{n}": F.sum(f"_is_{n}").over(until) for n in names}).where(begins)
+    # The keys stay the columns that the rows are dealt by, so the windows below only sort.
+    columns = [F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns]
+    counted = counted.select(*columns, *[f"in_{n}" for n in names], *[f"_is_{n}" for n in nearest])
     for name, value in nearest.items():
         before = Window.partitionBy(*keys, f"in_{name}").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         passed = F.struct(value.alias("v"))
@@ -274,7 +280,7 @@ def annotate(raw: DataFrame, ignore_selectors: Sequence[str] = (), keys: Sequenc
     }
     ranges = F.struct(F.col("text_from").alias("low"), F.col("text_to").alias("high"))
     df = enclosing(raw.drop("page_text"), marks, {"card": ranges, "scope": F.col("pos")}, keys)
-    landmarks = F.max(is_landmark()).over(Window.partitionBy(*keys))
+    landmarks = F.max(F.coalesce(is_landmark(), F.lit(False))).over(Window.partitionBy(*keys))
     roles = F.create_map(*[F.lit(x) for kv in ROLE_REGIONS.items() for x in kv])
     page_level = F.col("in_section") == F.col("tag").isin(*SECTIONING).cast("int")
     own = (
