@@ -33,15 +33,15 @@ TYPOGRAPHY = {
 
 # Every character outside this set may change under NFKC. Latin letters, plain
 # punctuation and what the later steps handle anyway are safe, so ordinary text
-# never leaves the JVM.
+# never leaves the JVM. A single range sorts out ASCII; the long class is tried on what is left.
 _NFKC_SENSITIVE = (
-    "[^"
+    r"[^\x{0}-\x{7F}](?<!["
     + code_points(
         (0x0, 0xA7), 0xA9, (0xAB, 0xAE), 0xB0, 0xB1, 0xB6, 0xB7, 0xBB, (0xBF, 0x131), (0x134, 0x13E),
         (0x141, 0x148), (0x14A, 0x17E), (0x2000, 0x2010), 0x2013, 0x2014, (0x2018, 0x201E), 0x2020,
         0x2022, 0x2028, 0x2029, 0x202F, 0x2032, 0x205F, 0x2060, 0x2212, 0x3000, 0xFEFF,
     )
-    + "]"
+    + "])"
 )
 
 
