@@ -600,7 +600,7 @@ _LEN = (
     "floor(magnitude * 100 + 0.5) / 100 AS magnitude FROM sm", "styles",
 )
 def style_length_drift(t: Tables):
-    rows = styles.property_comparisons(_styled(t)).where(F.col("property").isin("font-size", "margin-top"))
+    rows = styles.property_comparisons(_styled(t), changed_only=True).where(F.col("property").isin("font-size", "margin-top"))
     found = styles.property_findings(rows)
     key = F.regexp_extract("subject", r"\|(.*)#0$", 1)
     return found.select("path", "viewport", key.alias("key"), F.col("facet").alias("property"), "severity", "magnitude")
@@ -617,7 +617,7 @@ _JSON = lambda c: f"CASE WHEN {c} IS NULL THEN NULL ELSE to_json({c}) END"  # no
     "styles",
 )
 def style_property_findings(t: Tables):
-    found = styles.property_findings(styles.property_comparisons(_styled(t)))
+    found = styles.property_findings(styles.property_comparisons(_styled(t), changed_only=True))
     return found.select("id", "severity", "path", "viewport", "facet", "expected_json", "actual_json", "magnitude")
 
 
@@ -693,7 +693,7 @@ def style_parity(t: Tables):
     f"{COMPARED_SQL} SELECT property, count(*) AS count FROM cmp WHERE kind <> 'equal' GROUP BY 1 ORDER BY 2 DESC, 1", "styles",
 )
 def style_top_properties(t: Tables):
-    return stats.top_properties(styles.property_comparisons(_styled(t)).where(~F.col("equal")))
+    return stats.top_properties(styles.property_comparisons(_styled(t), changed_only=True).where(~F.col("equal")))
 
 
 @query("run_compare", "J10")
