@@ -22,6 +22,13 @@ def _digest() -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _pages(docs: DataFrame) -> DataFrame:
     """Pages whose path is a document's id and digest: rows of one id, or of none, are told apart by their texts."""
     return docs.select(F.struct("doc_id", _digest().alias("digest")).alias("path"), "text")
@@ -29,14 +36,22 @@ def _pages(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """`docs` without the rows whose id and text are in `dropped` (`path` as in `_pages`); a null id is an id like any other."""
-    gone = dropped.select(F.col("path.doc_id").alias("dropped_id"), F.col("path.digest").alias("dropped_digest"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (_digest() == F.col("dropped_digest")), "left_anti")
+    gone = dropped.select(F.col("path.doc_id").alias("dropped_id"), F.col("path.digest").alias("dropped_digest")).alias("gone")
+    kept = docs.withColumn(_free("digest", docs), _digest()).alias("kept")
+    same = F.col("kept.doc_id").eqNullSafe(F.col("gone.dropped_id")) & (F.col(f"kept.{_free('digest', docs)}") == F.col("gone.dropped_digest"))
+    return kept.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is undetermined: text that is null or has no letter."""
+    """Drop documents whose language is undetermined: text that is null or has no letter.
+
+    A corpus without a label teaches no language and loses such documents only. An empty table stays empty, and further
+    columns, whatever their names, are returned as they are; so in all stages but the last.
+    """
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = learn_languages(docs.filter(~held_out).select("text", "lang"))
+    if not model["languages"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return _without(docs, identify_languages(_pages(docs), model).filter(F.col("lang_pred") == UNKNOWN))
 
 
@@ -45,7 +60,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     copies = keep(exact_copies(_pages(docs)))
     left = _without(docs, copies.filter(~F.col("kept")))
     repeated = copies.filter("kept").groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return left if repeated.isEmpty() else left.withColumn("digest", _digest()).dropDuplicates(["doc_id", "digest"]).drop("digest")
+    digest = _free("digest", left)
+    return left if repeated.isEmpty() else left.withColumn(digest, _digest()).dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
