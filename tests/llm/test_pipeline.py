@@ -67,6 +67,23 @@ def test_rows_of_one_id_are_decided_by_their_own_texts(spark, tmp_path):
                 assert sorted(got, key=repr) == sorted([r for r in rows if r[1] != dropped[name] or r[0] == 900], key=repr), (name, shared)
 
 
+def test_a_corpus_without_labels_keeps_its_texts(spark, tmp_path):
+    rows = [(1, "some words", None), (2, "123 !", None), (3, None, None), (4, "слово", None), (None, "", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], COLUMNS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_unknown_language(spark, docs, str(tmp_path)).collect()) == [1, 4]
+
+
+def test_columns_of_any_name_come_through_every_stage(spark, tmp_path):
+    rows, passage = documents()
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["digest", "dropped_id", "dropped_digest", "path", "kept"]
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], COLUMNS + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and 0 < got.count() < len(rows), name
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got.collect() for n in names), name
+
+
 def test_every_numbered_query_is_there():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in QUERIES and set(ORACLE_SQL) <= set(QUERIES)
