@@ -160,3 +160,16 @@ def test_repeated_findings_of_one_id_keep_their_number(spark):
     }
     same = rundiff.diff_runs(made(before), made(before)).groupBy("bucket").count().collect()
     assert [tuple(r) for r in same] == [("unchanged", len(before))]
+
+
+def test_viewports_resolve_to_profiles_and_unknown_ones_end_the_job(spark):
+    from twinlens.operators import dimensions
+
+    own = spark.createDataFrame([("wall", "Wall", 3840, 2160, 1.0, False, False), ("desktop", "Mine", 1500, 900, 1.0, False, False)], dimensions.PROFILE_DDL)
+    profiles = dimensions.device_profiles(spark, own)
+    named = lambda *ids: spark.createDataFrame([(i,) for i in ids], "viewport string")
+    got = dimensions.resolve_viewports(named("desktop", "wall", "tablet"), profiles).collect()
+    assert {r["viewport"]: r["width"] for r in got} == {"desktop": 1500, "wall": 3840, "tablet": 768} and profiles.count() == 9
+    for wrong in ("dekstop", None):
+        with pytest.raises(Exception, match="no such viewport"):
+            dimensions.resolve_viewports(named("desktop", wrong), profiles).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinlens.functions.values import CLASS_ORDER
-from twinlens.operators import findings, report, rundiff, stats
+from twinlens.operators import dimensions, findings, report, rundiff, stats
 from twinlens.plans import second_engine as sql
 from twinlens.plans.derive import VIEWPORTS, Tables
 from twinlens.plans.registry import query
@@ -487,3 +487,32 @@ def diff_self(t: Tables):
 def noise_floor(t: Tables):
     """Ids to accept, from the findings of a self-comparison standing in for one."""
     return rundiff.noise_floor(t.findings())
+
+
+# --- settings as tables -----------------------------------------------------------------
+
+_PROFILES = "(VALUES " + ", ".join(f"('{v}', {w}, {h})" for v, _, w, h, *_ in dimensions.DEVICES) + ", ('wall', 3840, 2160)) p(viewport, width, height)"
+
+_OWN_PROFILES = _PROFILES.replace("('tablet', 768, 1024)", "('tablet', 800, 1280)")
+
+
+@query(
+    "config_viewports", "L3",
+    "WITH r AS (SELECT run_id, unnest(CASE WHEN views = 'desktop' THEN ['desktop', 'wall'] ELSE string_split(views, ',') END) AS viewport FROM runs) "
+    f"SELECT run_id, viewport, width, height FROM r JOIN {_OWN_PROFILES} USING (viewport)", "runs",
+)
+def config_viewports(t: Tables):
+    """Screens of every stored run; the project adds a wall and has a larger tablet."""
+    named = F.split(F.when(F.col("views") == "desktop", F.lit("desktop,wall")).otherwise(F.col("views")), ",")
+    own = t.spark.createDataFrame([("wall", "Wall", 3840, 2160, 1.0, False, False), ("tablet", "Tablet", 800, 1280, 2.0, True, True)], dimensions.PROFILE_DDL)
+    rows = t.derived("runs").select("run_id", F.explode(named).alias("viewport"))
+    return dimensions.resolve_viewports(rows, dimensions.device_profiles(t.spark, own)).select("run_id", "viewport", "width", "height")
+
+
+@query(
+    "config_severities", "I3",
+    "SELECT event_id, CASE category WHEN 'meta.drift' THEN 'error' WHEN 'page.alias' THEN 'warning' ELSE severity END AS severity FROM fid", "fid",
+)
+def config_severities(t: Tables):
+    own = t.spark.createDataFrame([("meta.drift", "info"), ("meta.drift", "error"), ("page.alias", "warning")], "category string, severity string")
+    return dimensions.with_severities(t.findings(), own).select("event_id", "severity")
